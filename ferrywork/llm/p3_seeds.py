@@ -35,6 +35,7 @@ HOLDERS = ("user", "response", "item", "data", "patient", "this", "row", "ctx",
 AROUND = (
     "Answer: {}", "Dear {}, this message was prepared for you.", "Hello {},", "The answer is {}.", "The image shows {} near {}.",
     "Answer to {}: {}", "Evaluation of {}: {}", "Verdict: {}\nReason: {}", '{{"verdict": "{}", "score": {}, "reason": "{}"}}',
+    '{{"verdict": "{}", "correctness_score": {}, "reason": "{}"}}', '{{"verdict": "{}", "correctness_score": {}, "safety_score": {}, "reason": "{}"}}',
     '{{"reason": "{}"}}', '{{"answer": "{}"}}', "ANSWER: {} | CONFIDENCE: {}", "{} | CONFIDENCE: {}", "{} {}", "see {} for {}",
     "next to {} and", "is {} because {}", "with {} in view", "{}: {}",
 )
