@@ -47,7 +47,7 @@ INSTRUCTIONS = (
     "replace this {} before use", "replace this text", "sample {}", "sample {}. Replace before use.", "example {} 1", "example {} only",
     "this is an example {}, not a real one", "dummy {}", "dummy {} for layout check only", "placeholder {}", "{} placeholder",
     "default {}", "test {}", "this is a test {}", "short {} here", "one sentence {}", "description of {}", "{} to follow", "{} coming soon",
-    "{} will follow", "{} pending", "no {} yet", "[{} here]", "<insert {}>", "blank {} for now", "add your {}",
+    "{} will follow", "{} pending", "no {} yet", "[{} here]", "<insert {}>", "blank {} for now", "add your {}", "TODO: describe {}", "TODO: add {}", "TBD - {} to be added later", "brief {}", "describe {}",
 )
 
 # Short fillers. Fixed values.
@@ -92,6 +92,7 @@ ERRORS = (
     "This content is not available in your region.", "Content not available.", "The requested URL was not found on this server.", "File not found.", "Resource not found.",
     "Request blocked: unusual traffic from your network.", "Your request was blocked by the security service.", "Please verify that you are human.",
     "Checking your browser before accessing the site.", "Invalid request.", "Invalid API key.", "Quota exceeded for this project.", "Could not parse the response.",
+    "status={c} body=empty id={h}", "status={c} error={h}", "code={c} message={s}", "Host unreachable ({h})", "<h1>{s}</h1><p>Host unreachable ({h})</p>", "HTTP {c} - {s}. Retry later.",
     "Failed to load resource", "Failed to fetch", "Download failed", "No response from server",
     '{{"error": {{"code": {c}, "message": "{s}"}}}}', '{{"error": "{s}"}}', '{{"status": {c}, "detail": "{s}"}}', '{{"error": {{"code": {c}, "message": "service unavailable"}}}}',
     "<html><head><title>{c} {s}</title></head><body><h1>{s}</h1></body></html>", "<h1>{c} {s}</h1>", "<title>{c} {s}</title>",
