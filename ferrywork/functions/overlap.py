@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,57 +29,65 @@ def keyword_accuracy(gold: Column, answer: Column) -> Column:
     return F.struct(recall.alias("recall"), precision.alias("precision"), F.array_sort(both).alias("matched"), F.array_sort(F.array_except(in_gold, in_answer)).alias("missed"))
 
 
-def split_words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(blank(c)), r"\s+"), lambda w: w != "")
-
-
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a fold over ``a`` of rows of the usual table."""
-    zero = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
+def split_words(t: str | None) -> list[str]:
+    return (t or "").lower().split()
 
-    def row(previous: Column, word: Column) -> Column:
-        pairs = F.arrays_zip(b.alias("w"), F.slice(previous, F.lit(2), F.size(b)).alias("up"), F.slice(previous, F.lit(1), F.size(b)).alias("diagonal"))
-        start = F.array(F.lit(0))
-        cell = lambda acc, p: F.array_append(acc, F.when(p["w"] == word, p["diagonal"] + 1).otherwise(F.greatest(p["up"], F.element_at(acc, -1))))
-        return F.aggregate(pairs, start, cell)
 
-    return F.element_at(F.aggregate(a, zero, row), -1)
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, bit-parallel over the words of ``a``."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    mask = (1 << len(a)) - 1
+    row = mask
+    for w in b:
+        m = places.get(w, 0)
+        u = row & m
+        row = ((row + u) | (row - u)) & mask
+    return len(a) - row.bit_count()
 
 
-def rouge_l(gold: Column, answer: Column) -> Column:
+def rouge_l(gold: list[str], answer: list[str]) -> float:
     """F-measure of the longest common subsequence of words; 0 if either is empty."""
-    g, a = split_words(gold), split_words(answer)
-    n = lcs_length(g, a)
-    p, r = F.try_divide(n, F.size(a)), F.try_divide(n, F.size(g))
-    return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
-
-
-def ngrams(words: Column, n: int) -> Column:
-    count = F.size(words) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    n = lcs_length(gold, answer)
+    return 2 * n / (len(gold) + len(answer)) if n else 0.0
 
 
-def _clipped(gold: Column, answer: Column) -> Column:
-    """Matches of the answer's n-grams, each at most as often as gold holds it."""
-    times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_distinct(answer), F.lit(0), lambda acc, x: acc + F.least(times(answer, x), times(gold, x)))
+def _clipped(gold: list[str], answer: list[str], n: int) -> tuple[int, int]:
+    """(matches of the answer's n-grams, each at most as often as gold holds it; the answer's n-grams)."""
+    grams = lambda ws: Counter(zip(*(ws[i:] for i in range(n)), strict=False))
+    a = grams(answer)
+    return sum((a & grams(gold)).values()), sum(a.values())
 
 
-def bleu(gold: Column, answer: Column, order: int = 4, epsilon: float = 0.1) -> Column:
+def bleu(gold: list[str], answer: list[str], order: int = 4, epsilon: float = 0.1) -> float:
     """BLEU up to ``order`` with equal weights and the brevity penalty; a zero count is smoothed to ``epsilon``."""
-    g, a = split_words(gold), split_words(answer)
-    logs = F.lit(0.0)
+    if not gold or not answer or not _clipped(gold, answer, 1)[0]:
+        return 0.0
+    logs = 0.0
     for n in range(1, order + 1):
-        ga, aa = ngrams(g, n), ngrams(a, n)
-        hit, total = _clipped(ga, aa), F.greatest(F.size(aa), F.lit(1))
-        logs = logs + F.log(F.when(hit == 0, F.lit(epsilon)).otherwise(hit.cast("double")) / total) / order
-    short = F.when(F.size(a) > F.size(g), 1.0).otherwise(F.exp(1 - F.size(g) / F.size(a)))
-    return F.when((F.size(g) == 0) | (F.size(a) == 0) | (_clipped(g, a) == 0), 0.0).otherwise(short * F.exp(logs))
+        hit, total = _clipped(gold, answer, n)
+        logs += math.log((hit or epsilon) / max(1, total)) / order
+    return math.exp(logs + min(0.0, 1 - len(gold) / len(answer)))
 
 
-def meteor_exact(gold: Column, answer: Column) -> Column:
+def meteor_exact(gold: list[str], answer: list[str]) -> float:
     """The harmonic mean of METEOR over exact word matches only (no synonyms, stems or chunk penalty)."""
-    g, a = split_words(gold), split_words(answer)
-    m = _clipped(g, a)
-    p, r = F.try_divide(m, F.size(a)), F.try_divide(m, F.size(g))
-    return F.coalesce(F.try_divide(10 * p * r, r + 9 * p), F.lit(0.0))
+    m = _clipped(gold, answer, 1)[0] if gold and answer else 0
+    if not m:
+        return 0.0
+    p, r = m / len(answer), m / len(gold)
+    return 10 * p * r / (r + 9 * p)
+
+
+@F.pandas_udf("rouge_l double, bleu1 double, bleu4 double, meteor double")
+def overlaps(gold: pd.Series, answer: pd.Series) -> pd.DataFrame:
+    """All four figures of each pair; equal pairs of a batch are computed once."""
+    memo: dict[tuple, tuple] = {}
+    rows = []
+    for pair in zip(gold, answer, strict=True):
+        if pair not in memo:
+            g, a = split_words(pair[0]), split_words(pair[1])
+            memo[pair] = (rouge_l(g, a), bleu(g, a, 1), bleu(g, a, 4), meteor_exact(g, a))
+        rows.append(memo[pair])
+    return pd.DataFrame(rows, columns=["rouge_l", "bleu1", "bleu4", "meteor"])

@@ -78,8 +78,8 @@ def tier2_rows(results: DataFrame) -> DataFrame:
     """Overlap figures of answered rows with a gold answer."""
     rows = results.where(~F.coalesce("is_defer", F.lit(False)) & (F.length(F.trim(F.coalesce("gold_answer", F.lit("")))) > 0))
     g, a = F.col("gold_answer"), F.col("parsed_answer")
-    k = overlap.keyword_accuracy(g, a)
-    return rows.select("result_id", k["recall"].alias("keyword_recall"), k["precision"].alias("keyword_precision"), overlap.rouge_l(g, a).alias("rouge_l"), overlap.bleu(g, a, 1).alias("bleu1"), overlap.bleu(g, a, 4).alias("bleu4"), overlap.meteor_exact(g, a).alias("meteor"))
+    rows = rows.select("result_id", overlap.keyword_accuracy(g, a).alias("k"), overlap.overlaps(g, a).alias("o"))
+    return rows.select("result_id", F.col("k.recall").alias("keyword_recall"), F.col("k.precision").alias("keyword_precision"), "o.rouge_l", "o.bleu1", "o.bleu4", "o.meteor")
 
 
 def tier2(results: DataFrame) -> DataFrame:

@@ -1,4 +1,437 @@
-"""Registered queries of the core and the SQL they are held against."""
+"""Registered queries of the core and the SQL they are held against.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Every query reads whole tables. Searches take as queries the rows whose id is divisible by 20, against all rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ferrywork import schema
+from ferrywork.functions import answers, overlap, prompts, tags, text
+from ferrywork.operators import corpus, frames, lexical, metrics, observability, ranking
+from ferrywork.plans import oracles
+from ferrywork.runtime import table
+from ferrywork.streaming import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "heldout_items").where("item_id % 20 = 0")
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks as first delivered: later copies of a chunk are the same row again."""
+    return table(s, d, "chunks_v3").dropDuplicates(["chunk_id"])
+
+
+def _results(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "spike_results_v3").dropDuplicates(["result_id"])
+
+
+# --- retrieval -----------------------------------------------------------------------------------------------------
+
+
+@query
+def bm25_topk(s, d):
+    """The five best documents of each held-out item by single-field BM25."""
+    scores = lexical.bm25(table(s, d, "documents"), _items(s, d), "doc_id", "item_id", "text", {"text": 1.0})
+    return lexical.top_per_query(scores, 5).select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def bm25_fields_topk(s, d):
+    """The five best child chunks of each held-out item by nine weighted fields."""
+    chunks = _chunks(s, d).where("level = 'child'")
+    scores = lexical.bm25(chunks, _items(s, d), "chunk_id", "item_id", "text", schema.FIELD_WEIGHTS)
+    return lexical.top_per_query(scores, 5).select("qid", F.col("id").alias("chunk_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _hybrid(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks = _chunks(s, d).where("level = 'child'")
+    bundles = lexical.query_bundle(_items(s, d), "item_id", "text", "question_type", None)
+    scores = lexical.bm25(chunks, bundles, "chunk_id", "qid", "sparse_query", schema.FIELD_WEIGHTS)
+    return chunks, bundles, lexical.bonuses(scores, chunks, bundles)
+
+
+@query
+def retrieve_hits(s, d):
+    """Expanded queries, weighted fields, bonuses, priors, diverse selection and packaged evidence."""
+    chunks, bundles, scores = _hybrid(s, d)
+    pool = lexical.top_per_query(scores, 40)
+    best = ranking.apply_priors(pool, chunks, bundles)
+    meta = chunks.select(F.col("chunk_id").alias("id"), "parent_id", "doc_id", "section_id")
+    picked = ranking.adaptive_select(best.join(meta, "id"))
+    hits = ranking.package(picked, _chunks(s, d))
+    return hits.select("qid", "position", "chunk_id", "evidence_chunk_id", F.round("retrieval_score", 6).alias("score"), F.col("evidence_card.chunk_type").alias("chunk_type"))
+
+
+@query
+def build_prompts(s, d):
+    """Prompts of the packaged evidence with the hint of the question type."""
+    chunks, bundles, scores = _hybrid(s, d)
+    pool = lexical.top_per_query(scores, 5).select("qid", "id", "score", F.col("rank").alias("position"))
+    return prompts.prompts(bundles, ranking.package(pool, _chunks(s, d))).select("qid", "prompt", F.col("evidence_count").cast("long").alias("evidence_count"))
+
+
+def _dense(s, d, k: int, cosine: bool) -> DataFrame:
+    e = table(s, d, "embeddings")
+    return ranking.dense_topk(e, e.where("vec_id % 20 = 0"), k, cosine=cosine)
+
+
+@query
+def dense_topk_ip(s, d):
+    return _dense(s, d, 10, False).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def rrf_fusion(s, d):
+    """Reciprocal-rank fusion of the inner-product and the cosine list."""
+    return ranking.rrf(_dense(s, d, 20, False), _dense(s, d, 20, True))
+
+
+@query
+def alpha_mix(s, d):
+    a, b = _dense(s, d, 40, False), _dense(s, d, 20, True)
+    return ranking.alpha_mix(ranking.rrf(a, b), a, b)
+
+
+@query
+def query_expansion(s, d):
+    """Terms of all questions: expansions, hints of the type, detected classes."""
+    b = lexical.query_bundle(table(s, d, "questions_v3"))
+    return b.select("qid", F.size("terms").cast("long").alias("n_terms"), "sparse_query", F.array_join("preferred_collections", ";").alias("collections"))
+
+
+@query
+def parent_child_join(s, d):
+    """Children with the page range and length of their parent, the child's own where there is none."""
+    c = _chunks(s, d)
+    p = c.select(F.col("chunk_id").alias("pid"), F.char_length("text").alias("plen"), F.col("page_start").alias("pstart"))
+    rows = c.where("level = 'child'").join(p, c["parent_id"] == p["pid"], "left")
+    return rows.select("chunk_id", F.coalesce("pid", "chunk_id").alias("evidence_id"), F.coalesce("plen", F.char_length("text")).cast("long").alias("evidence_length"), F.coalesce("pstart", "page_start").cast("long").alias("page"))
+
+
+# --- corpus --------------------------------------------------------------------------------------------------------
+
+
+@query
+def keep_first_dedup(s, d):
+    """Documents whose text (case and white space aside) no document of a smaller id holds."""
+    return corpus.keep_first(table(s, d, "documents"), [], "text", ["doc_id"]).select("doc_id", "n_chars")
+
+
+@query
+def corpus_stats(s, d):
+    return corpus.corpus_stats(_chunks(s, d))
+
+
+@query
+def corpus_validation(s, d):
+    return corpus.validation(_chunks(s, d))
+
+
+@query
+def tag_dictionary(s, d):
+    c = _chunks(s, d)
+    return c.select("chunk_id", *[F.array_join(tags.tag_family(F.col("text"), f), ";").alias(f) for f in schema.TAGS], F.array_join(tags.phases(F.col("text")), ";").alias("phases"))
+
+
+@query
+def chunk_types(s, d):
+    return _chunks(s, d).select("chunk_id", tags.chunk_type(F.col("text"), F.col("source_type"), F.col("doc_family")).alias("kind"))
+
+
+@query
+def sentence_split(s, d):
+    x = text.sentences(F.col("text"))
+    return table(s, d, "documents").select("doc_id", F.size(x).cast("long").alias("n_sentences"), F.array_max(F.transform(x, F.char_length)).cast("long").alias("longest"))
+
+
+@query
+def mojibake_marks(s, d):
+    return _chunks(s, d).select("chunk_id", text.mojibake_score(F.col("text")).cast("long").alias("marks")).where("marks > 0")
+
+
+@query
+def clean_text(s, d):
+    return text.clean(table(s, d, "documents").select("doc_id", "text"), "text").select("doc_id", "cleaned")
+
+
+@query
+def heading_lines(s, d):
+    """Heading, reference and contents lines of each chunk."""
+    c = _chunks(s, d)
+    lines = text.lines_of(F.col("text"))
+    n = lambda test: F.size(F.filter(lines, test)).cast("long")
+    return c.select("chunk_id", n(text.heading).alias("headings"), n(text.reference_line).alias("references"), n(text.toc_line).alias("contents"))
+
+
+@query
+def pack_sections(s, d):
+    """Chunks of the documents' texts as sections: parents and children by token budget."""
+    docs = table(s, d, "documents").where("text is not null")
+    secs = docs.select("doc_id", F.lit("SEC_001").alias("section_id"), "text")
+    return corpus.chunks_of_sections(secs).select("doc_id", "level", F.col("idx").cast("long").alias("idx"), F.col("token_count").cast("long").alias("token_count"))
+
+
+@query
+def document_sections(s, d):
+    """Sections of each document of the corpus, from its parents as pages."""
+    c = _chunks(s, d).where("level = 'parent' and text is not null")
+    pages = c.select("doc_id", F.coalesce("page_start", F.lit(0)).alias("page_num"), "text")
+    return corpus.sections(pages).select("doc_id", "section_id", "title", "page_start", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def argmax_overlap_join(s, d):
+    """The parent chunk that shares most sentences with each child of its section."""
+    c = _chunks(s, d).where("text is not null").select("doc_id", "section_id", F.col("chunk_id").alias("idx"), "text", "level")
+    return corpus.best_parents(c.where("level = 'child'"), c.where("level = 'parent'")).select("child_idx", "parent_idx", "shared")
+
+
+@query
+def link_family(s, d):
+    out = corpus.link(_chunks(s, d))
+    return out.select("chunk_id", F.array_join("child_ids", ";").alias("children"), F.array_join(F.array_sort("sibling_ids"), ";").alias("siblings"))
+
+
+@query
+def context_headers(s, d):
+    c = _chunks(s, d).join(table(s, d, "manifest_v3").select("doc_id", "tags_hint"), "doc_id")
+    h = tags.context_header(*[F.col(x) for x in ("doc_title", "source_type", "trust_tier", "heading_path", "chunk_type")], {k: F.col(k) for k in ("anatomy_tags", "risk_tags", "phase_scope")}, F.col("tags_hint"), F.col("page_start"), F.col("page_end"))
+    return c.select("chunk_id", h.alias("header"))
+
+
+@query
+def section_summaries(s, d):
+    return _chunks(s, d).where("level = 'parent'").select("chunk_id", corpus.section_summary(F.col("text")).alias("summary"))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------
+
+
+@query
+def parse_responses(s, d):
+    rows = answers.parse_responses(_results(s, d).select("result_id", "raw_response"))
+    return rows.select("result_id", "parsed.is_defer", "parsed.confidence", "parsed.parsed_answer", F.array_join("parsed.parse_flags", ";").alias("flags"))
+
+
+@query
+def parse_judgements(s, d):
+    rows = answers.parse_judgements(_results(s, d).select("result_id", "raw_judge_response"))
+    return rows.select("result_id", "judged.judge_verdict", "judged.judge_reason", *[F.col(f"judged.{x}").cast("long").alias(x) for x in schema.SCORES], "judged.judge_parse_error")
+
+
+@query
+def confusion_matrix(s, d):
+    return metrics.confusion(_results(s, d), "should_defer", "is_defer")
+
+
+@query
+def confusion_by_type(s, d):
+    return metrics.confusion(_results(s, d), "should_defer", "is_defer", "question_type")
+
+
+@query
+def tier1_summary(s, d):
+    return metrics.tier1(_results(s, d))
+
+
+@query
+def by_question_type(s, d):
+    return metrics.by_group(_results(s, d), "question_type")
+
+
+@query
+def by_difficulty(s, d):
+    return metrics.by_group(_results(s, d), "difficulty")
+
+
+@query
+def grouped_sets(s, d):
+    return metrics.grouped_sets(_results(s, d))
+
+
+@query
+def flag_histogram(s, d):
+    return metrics.flag_histogram(_results(s, d))
+
+
+@query
+def confidence_histogram(s, d):
+    return metrics.confidence_histogram(_results(s, d))
+
+
+@query
+def per_question(s, d):
+    return metrics.per_question(_results(s, d))
+
+
+@query
+def keyword_recall(s, d):
+    k = overlap.keyword_accuracy(F.col("gold_answer"), F.col("parsed_answer"))
+    return _results(s, d).select("result_id", k["recall"].alias("recall"), k["precision"].alias("precision"), F.array_join(k["missed"], ";").alias("missed"))
+
+
+@query
+def overlap_metrics(s, d):
+    """BLEU, ROUGE-L and exact-match METEOR of all answered rows."""
+    return metrics.tier2_rows(_results(s, d)).select("result_id", *[F.round(c, 6).alias(c) for c in ("rouge_l", "bleu1", "bleu4", "meteor")])
+
+
+@query
+def tier2_summary(s, d):
+    return metrics.tier2(_results(s, d))
+
+
+@query
+def tier3_summary(s, d):
+    return metrics.tier3(_results(s, d))
+
+
+@query
+def tier3_by_type(s, d):
+    return metrics.tier3(_results(s, d), "question_type")
+
+
+@query
+def judge_cache_keys(s, d):
+    r = _results(s, d)
+    key = answers.cache_key(F.col("question"), F.col("gold_answer"), F.col("parsed_answer"))
+    return r.select("result_id", key.alias("cache_key"))
+
+
+@query
+def left_anti_resume(s, d):
+    """Questions that no result answers yet."""
+    return metrics.resume(table(s, d, "spike_results_v3"), table(s, d, "questions_v3"), ["qid"]).select("qid", "question_type")
+
+
+@query
+def results_with_questions(s, d):
+    """Results with the frame of their question, by a left join."""
+    q = table(s, d, "questions_v3").select("qid", F.col("frame_index").cast("long").alias("frame_index"), "video_id")
+    return _results(s, d).select("result_id", "qid").join(q, "qid", "left")
+
+
+# --- frames and observability --------------------------------------------------------------------------------------
+
+
+@query
+def class_frequency(s, d):
+    q = table(s, d, "questions_v3").select(F.explode("classes_detected").alias("class", "share"))
+    return q.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("share"), 6).alias("mean_share"))
+
+
+@query
+def class_features(s, d):
+    c = frames.class_features(F.coalesce("classes_detected", F.create_map().cast("map<string,double>")))
+    return table(s, d, "questions_v3").select("qid", *[F.round(c[k], 6).alias(k) for k in ("anatomy_area", "tool_area", "risk_area")], c["n_classes"].cast("long").alias("n_classes"), c["has_blood"].alias("has_blood"))
+
+
+@query
+def bucket_target_fill(s, d):
+    """Questions of each bucket against its target."""
+    goal = s.createDataFrame([(x, y, n) for (x, y), n in schema.BUCKETS.items()], "difficulty string, question_type string, target long")
+    have = table(s, d, "questions_v3").groupBy("difficulty", "question_type").agg(F.count(F.lit(1)).alias("n"))
+    return goal.join(F.broadcast(have), ["difficulty", "question_type"], "left").select("difficulty", "question_type", "target", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query
+def trim_to_targets(s, d):
+    """The first questions of each bucket up to its target, by id."""
+    goal = s.createDataFrame([(x, y, n) for (x, y), n in schema.BUCKETS.items()], "difficulty string, question_type string, target long")
+    w = Window.partitionBy("difficulty", "question_type").orderBy("qid")
+    rows = table(s, d, "questions_v3").join(F.broadcast(goal), ["difficulty", "question_type"]).withColumn("rn", F.row_number().over(w))
+    return rows.where("rn <= target").select("qid", "difficulty", "question_type")
+
+
+@query
+def hamming_self_join(s, d):
+    """Pairs of vectors whose 64 sign bits differ in fewer than eight places."""
+    e = table(s, d, "embeddings")
+    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit("").cast("string"), lambda a, b: F.concat(a, b.cast("string")))
+    word = F.conv(bits, 2, -10).cast("long")
+    return frames.near_duplicates(e.select("vec_id", F.array(word).alias("h")), "vec_id", "h").select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+@query
+def robust_z(s, d):
+    z = observability.robust_z(table(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"])
+    return z.select("o_orderkey", F.round("z_o_totalprice", 9).alias("z"))
+
+
+@query
+def tertile_strata(s, d):
+    return observability.tertiles(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", "stratum").select("o_orderkey", "stratum")
+
+
+@query
+def crosstab_pivot(s, d):
+    return observability.crosstab(table(s, d, "questions_v3"), "question_type", "difficulty", list(schema.DIFFICULTIES))
+
+
+@query
+def stratified_sample_counts(s, d):
+    q = table(s, d, "questions_v3")
+    goal = s.createDataFrame([(x, 20) for x in schema.DIFFICULTIES], "difficulty string, target int")
+    return observability.stratified_sample(q, ["difficulty"], goal, "qid").groupBy("difficulty").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def bootstrap_rates(s, d):
+    """The rate of deferred answers by question type with its bootstrap interval."""
+    r = _results(s, d).withColumn("v", F.col("is_defer").cast("double"))
+    out = observability.bootstrap_interval(r, ["question_type"], "v")
+    return out.select("question_type", F.col("mean"), "n", (F.col("ci_low") <= F.col("mean")).alias("low_ok"), (F.col("ci_high") >= F.col("mean")).alias("high_ok"))
+
+
+# --- relational forms and extensions -------------------------------------------------------------------------------
+
+
+@query
+def pricing_summary(s, d):
+    li = table(s, d, "lineitem")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def revenue_by_nation(s, d):
+    t = lambda n: table(s, d, n)
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy("r_name", "n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query
+def set_operations(s, d):
+    """Customers with orders in common, without, and in either table, as counts."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("k"))
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("k"))
+    one = lambda df, name: df.agg(F.lit(name).alias("operation"), F.count(F.lit(1)).alias("n"))
+    return one(c.intersect(o), "intersect").unionByName(one(c.subtract(o), "except")).unionByName(one(c.union(o).distinct(), "union"))
+
+
+@query
+def event_windows(s, d):
+    """Extension: hourly counts of events."""
+    return incremental.windowed_counts(table(s, d, "events")).select("window_start", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query
+def event_sessions(s, d):
+    """Extension: sessions of each user, ended by half an hour without events."""
+    return incremental.sessions(table(s, d, "events"))
+
+
+ORACLES: dict[str, str] = oracles.build()
