@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ferrywork import schema
 
@@ -155,7 +156,7 @@ def clamp_score(c: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(F.bround(c.try_cast("double"), 0).cast("int"), F.lit(1))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_object(texts: pd.Series) -> pd.Series:
     """The first balanced JSON object of a text, or null; brackets inside strings do not count."""
     sign = re.compile(r'[{}"]|\\\\.', re.DOTALL)

@@ -8,6 +8,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ferrywork import schema
 from ferrywork.functions.answers import blank
@@ -80,7 +81,7 @@ def meteor_exact(gold: list[str], answer: list[str]) -> float:
     return 10 * p * r / (r + 9 * p)
 
 
-@F.pandas_udf("rouge_l double, bleu1 double, bleu4 double, meteor double")
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("rouge_l", "bleu1", "bleu4", "meteor")]))
 def overlaps(gold: pd.Series, answer: pd.Series) -> pd.DataFrame:
     """All four figures of each pair; equal pairs of a batch are computed once."""
     memo: dict[tuple, tuple] = {}
