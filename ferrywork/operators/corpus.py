@@ -200,3 +200,16 @@ def build(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     full = tagged(full.join(manifest.drop("chunk_strategy", "filename"), "doc_id"))
     header = tags.context_header(*[F.col(c) for c in ("doc_title", "source_type", "trust_tier", "heading_path", "chunk_type")], {k: F.col(k) for k in ("anatomy_tags", "risk_tags", "phase_scope")}, F.col("tags_hint"), F.col("page_start"), F.col("page_end"))
     return full.withColumn("contextualized_text", F.concat(header, F.lit("\n"), F.col("text"))).drop("_level", "idx", "tags_hint")
+
+
+def document_summaries(sections_df: DataFrame) -> DataFrame:
+    """``doc_id, section_id, section_title, text, level``: title and first sentence of each document's first ten sections.
+
+    Sections beyond the tenth are cut before the text is gathered, so a document's row stays small.
+    """
+    w = Window.partitionBy("doc_id").orderBy("section_id")
+    first = F.get(text.sentences(F.col("text")), F.lit(0))
+    rows = sections_df.withColumn("_n", F.row_number().over(w)).where("_n <= 10").withColumn("_s", first).where(F.col("_s").isNotNull())
+    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_n", F.concat(F.col("title"), F.lit(": "), F.col("_s")).alias("t")))).alias("parts"))
+    words = F.split(F.array_join(F.transform("parts", lambda p: p["t"]), " "), r"\s+")
+    return parts.select("doc_id", F.lit("DOC_SUMMARY").alias("section_id"), F.lit("Document Summary").alias("section_title"), F.get(F.transform(pack(words, schema.PARENT_TOKENS, 0), lambda ws: F.array_join(ws, " ")), F.lit(0)).alias("text"), F.lit("document_summary").alias("level"))

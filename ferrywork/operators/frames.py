@@ -249,3 +249,24 @@ def mask_classes(images: DataFrame, id_col: str = "path") -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "classes"])
 
     return rows.mapInPandas(run, "id string, classes map<string,double>")
+
+
+def video_id(path: Column) -> Column:
+    """The last part of a path named video and a number, else the name of the parent folder."""
+    parts = F.split(path, "/")
+    named = F.filter(parts, lambda p: F.lower(p).rlike(r"^video\d+$"))
+    return F.coalesce(F.when(F.size(named) > 0, F.element_at(named, -1)), F.get(parts, F.size(parts) - 2))
+
+
+def frame_index(path: Column) -> Column:
+    """The last number in the file's stem, or -1."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    numbers = F.regexp_extract_all(stem, F.lit(r"\d+"), F.lit(0))
+    return F.when(F.size(numbers) > 0, F.element_at(numbers, -1).cast("int")).otherwise(F.lit(-1))
+
+
+def selection_summary(selected: DataFrame) -> DataFrame:
+    """``assigned_difficulty, assigned_question_type, target, n, videos``: each bucket against its target."""
+    goal = selected.sparkSession.createDataFrame([(d, t, n) for (d, t), n in schema.BUCKETS.items()], "assigned_difficulty string, assigned_question_type string, target int")
+    have = selected.groupBy("assigned_difficulty", "assigned_question_type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("video_id")).alias("videos"))
+    return goal.join(have, ["assigned_difficulty", "assigned_question_type"], "left").select("assigned_difficulty", "assigned_question_type", "target", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("videos", F.array().cast("array<string>")).alias("videos"))

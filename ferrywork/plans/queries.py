@@ -397,6 +397,26 @@ def bootstrap_rates(s, d):
     return out.select("question_type", F.col("mean"), "n", (F.col("ci_low") <= F.col("mean")).alias("low_ok"), (F.col("ci_high") >= F.col("mean")).alias("high_ok"))
 
 
+@query
+def retrieval_evaluation(s, d):
+    """Keywords and needle of each question."""
+    r = prompts.retrieval_evaluation(table(s, d, "questions_v3"))
+    return r.select("qid", F.array_join("relevant_keywords", ";").alias("keywords"), F.col("min_acceptable_chunk_contains").alias("needle"))
+
+
+@query
+def question_drafts(s, d):
+    """Draft questions and gold stubs by type and frame."""
+    q = table(s, d, "questions_v3")
+    return q.select("qid", prompts.question(F.col("question_type"), F.col("frame_index")).alias("draft"), prompts.gold_stub(F.col("classes_detected"), F.col("should_defer")).alias("gold_stub"))
+
+
+@query
+def section_titles(s, d):
+    """Titles inferred from the text of each document."""
+    return table(s, d, "documents").select("doc_id", text.infer_title(F.col("text"), F.lit("Untitled")).alias("title"))
+
+
 # --- relational forms and extensions -------------------------------------------------------------------------------
 
 

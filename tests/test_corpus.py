@@ -77,3 +77,20 @@ def test_build_end_to_end(spark):
     assert got and len({r.chunk_id for r in got}) == len(got)
     assert all(r.contextualized_text.startswith("[Source: Title | Type: review | Trust: Tier A]") for r in got)
     assert any(r.parent_id for r in got if r.level == "child")
+
+
+def test_front_matter_and_titles(spark):
+    body = "This is a line of the body that has more than eight words in it."
+    page = f"Authors: A B\na@b.org\nDepartment of Surgery\n{body}\nmore"
+    assert one(spark, text.trim_front_matter, page) == f"{body}\nmore"
+    assert one(spark, text.trim_front_matter, body) == body and one(spark, text.trim_front_matter, None) == ""
+    assert one(spark, text.body_line, body) and not one(spark, text.body_line, "a@b.org")
+    assert one(spark, text.front_matter_page, "Published by X\nISBN 1\nTitle") and not one(spark, text.front_matter_page, (body + "\n") * 5)
+    assert one(spark, text.trim_preamble, "Authors at the University and the Hospital of somewhere Abstract: " + "x" * 90).startswith("Abstract:")
+    assert one(spark, text.sanitize_section, "Open Access Some text.\nReferences\n1. x") == "Some text."
+    assert one(spark, text.trim_dataset_front, "y" * 200 + " Abstract " + "x" * 300).startswith("Abstract")
+    title = lambda c: text.infer_title(c, F.lit("F"))
+    assert [one(spark, title, t) for t in ("2. Study Design\nx", "Conclusion: x", "", "A first line longer than twenty signs.\nz", "one two")] == ["Study Design", "Conclusions", "F", "A first line longer than twenty signs", "F"]
+    secs = spark.createDataFrame([("d", f"SEC_{i:03d}", f"T{i}", "First one. Second.") for i in range(12)], "doc_id string, section_id string, title string, text string")
+    got = corpus.document_summaries(secs).collect()
+    assert len(got) == 1 and got[0].text.startswith("T0: First one. T1:") and "T9" in got[0].text and "T10" not in got[0].text

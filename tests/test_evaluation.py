@@ -100,3 +100,8 @@ def test_cache_and_resume(spark):
     assert [r.cache_key for r in hit.collect()] == ["a"] and [r.cache_key for r in miss.collect()] == ["b"]
     assert metrics.resume(cache, rows, ["cache_key"]).count() == 1
     assert metrics.flag_histogram(spark.createDataFrame([], "raw_response string, parsed_answer string, is_defer boolean, confidence string")).agg(F.sum("n")).first()[0] == 0
+
+
+def test_frame_paths(spark):
+    df = spark.createDataFrame([("/a/video07/clip/f_12_endo.png",), ("/a/b/x.png",)], "p string")
+    assert [tuple(r) for r in df.select(frames.video_id(F.col("p")), frames.frame_index(F.col("p"))).collect()] == [("video07", 12), ("b", -1)]
