@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most labelled documents, and most others, that the classifiers are trained on.
-LABELLED, UNLABELLED = 8000, 8000
+LABELLED, UNLABELLED = 6000, 4000
 HASHED = 1 << 16
 MOST = 3
 
