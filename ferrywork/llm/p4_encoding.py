@@ -150,30 +150,47 @@ def _best(model: CharModel, token: str) -> list[tuple[str, float, str]]:
     return out
 
 
-def fit(tokens: dict[str, int]) -> tuple[dict[str, int], float]:
-    """The clean words with their counts, and the validated margin.
+def family(chain: str) -> str:
+    """``bytes`` for chains that pass through UTF-8 or written-out bytes, ``pages`` for a page read as another page."""
+    return "bytes" if "utf-8" in chain or "escape" in chain else "pages"
 
-    Words that a chain turns into a far commoner one are dropped first, then those that the model of the others would
-    mend. Each half of the rest is then scored by a model of the other half: the margin exceeds 99.9 % of these gains.
+
+def fit(tokens: dict[str, int]) -> tuple[dict[str, int], dict[str, float]]:
+    """The clean words with their counts, and the validated margin of each family of chains.
+
+    Words that a chain turns into a far commoner one are dropped first, then those that a chain of bytes turns into a
+    word of far commoner signs. Each half of the rest is then scored by a model of the other half: a margin exceeds
+    99.9 % of the gains that its family finds there.
     """
-    ratio = lambda chain: DOMINANCE if "utf-8" in chain or "escape" in chain else PAGE_DOMINANCE
-    kept = {t: n for t, n in tokens.items() if LOST not in t and all(tokens.get(y, 0) < ratio(c) * n for c, y in chains(t))}
-    model = CharModel(kept)
-    utf8 = lambda t: any(c.endswith("utf-8") and g > MIN_MARGIN for c, g, _ in _best(model, t))
-    kept = {t: n for t, n in kept.items() if not utf8(t)}
+    ratio = {"bytes": DOMINANCE, "pages": PAGE_DOMINANCE}
+    kept = {t: n for t, n in tokens.items() if LOST not in t and all(tokens.get(y, 0) < ratio[family(c)] * n for c, y in chains(t))}
+    signs: Counter = Counter()
+    for t, n in kept.items():
+        for c in set(t):
+            if not c.isascii():
+                signs[c] += n
+    rarest = lambda t: min((signs[c] for c in t if not c.isascii()), default=0)
+    kept = {t: n for t, n in kept.items() if all(family(c) == "pages" or y.isascii() or rarest(y) <= DOMINANCE * rarest(t) for c, y in chains(t))}
     halves = [{t: n for t, n in kept.items() if sum(map(ord, t)) % 2 == k} for k in (0, 1)]
-    gains: list[tuple[float, int]] = []
+    gains: dict[str, list[tuple[float, int]]] = {"bytes": [], "pages": []}
     for mine, other in (halves, halves[::-1]):
         m = CharModel(other)
-        gains += [(max((g for _, g, _ in _best(m, t)), default=0.0), n) for t, n in mine.items()]
-    gains.sort(reverse=True)
-    seen, bound, margin = 0, 0.001 * sum(n for _, n in gains), MIN_MARGIN
-    for g, n in gains:
-        seen += n
-        if seen > bound:
-            margin = max(MIN_MARGIN, g)
-            break
-    return kept, margin
+        for t, n in mine.items():
+            best = {"bytes": 0.0, "pages": 0.0}
+            for c, g, _ in _best(m, t):
+                best[family(c)] = max(best[family(c)], g)
+            for f, g in best.items():
+                gains[f].append((g, n))
+    margins = {}
+    for f, found in gains.items():
+        seen, bound = 0, 0.001 * sum(n for _, n in found)
+        margins[f] = MIN_MARGIN
+        for g, n in sorted(found, reverse=True):
+            seen += n
+            if seen > bound:
+                margins[f] = max(MIN_MARGIN, g)
+                break
+    return kept, margins
 
 
 def _class(c: str) -> str:
@@ -224,7 +241,7 @@ def clean_counts(df: DataFrame, text_col: str, context_col: str) -> DataFrame:
 class Mender:
     """Judges fields against the clean words; one per task."""
 
-    def __init__(self, known: dict[str, int], marked: dict[str, int], margin: float):
+    def __init__(self, known: dict[str, int], marked: dict[str, int], margin: dict[str, float]):
         self.known, self.margin, self.model, self.marked = known, margin, CharModel(known), marked
         self.memo: dict[str, list[tuple[str, float, str]]] = {}
         self.shapes: dict[str, int] = defaultdict(int)
@@ -261,9 +278,10 @@ class Mender:
                     gain[chain] += g * n
             if not gain:
                 break
-            chain = max(gain, key=lambda c: (gain[c], -len(c), c))
-            if gain[chain] <= self.margin:
+            gain = {c: g for c, g in gain.items() if g > self.margin[family(c)]}
+            if not gain:
                 break
+            chain = max(gain, key=lambda c: (gain[c], -len(c), c))
             for t in list(unknown):
                 for c, _, result in self.options(t):
                     if c == chain:
@@ -275,7 +293,7 @@ class Mender:
         return ("lossy" if lossy else "restorable" if fixes else None), text
 
 
-def _judge(known: dict[str, int], marked: dict[str, int], margin: float):
+def _judge(known: dict[str, int], marked: dict[str, int], margin: dict[str, float]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mender = Mender(known, marked, margin)
         for pdf in frames:
