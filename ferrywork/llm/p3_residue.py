@@ -9,6 +9,7 @@ All texts of a batch are scored at once by table look-up and running sums.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -41,6 +42,33 @@ BRIEF, BRIEF_FLOOR = 20, 4.5
 SEED_TEXTS, SAMPLE = 6000, 4000
 #: A field with at least this share of residue is excluded; template delimiters count from one whole slot on.
 COVERAGE = 0.15
+#: Delimiters that other writing uses as well: brackets of an editor, markup.
+SHARED_DELIMITERS = ("[", "<")
+
+
+def _slots(delimiters: list[tuple[str, str]]) -> re.Pattern:
+    """Whole slots: a name or an instruction between delimiters, on one line and without quotation marks."""
+    forms = []
+    for left, right in sorted({(a.strip(), b.strip()) for a, b in delimiters}, key=lambda x: (-len(x[0]), x)):
+        if left == right:  # without blanks: a pair of per cent signs is no slot
+            # each form begins with a fixed sign, so that the search skips to such signs
+            forms.append(rf"{re.escape(left[0])}(?<!\w{re.escape(left[0])}){re.escape(left[1:])}[^\W_](?:[\w.|-]{{0,58}}[^\W_])?{re.escape(right)}(?!\w)")
+        else:
+            signs = re.escape("".join(sorted(set(left + right) - {"s"})))
+            first = r"[^\W\d_]" if left in SHARED_DELIMITERS else r"\w"  # [1] is a reference
+            forms.append(rf"{re.escape(left)}[ \t]?{first}[^\n\",{signs}]{{0,59}}{re.escape(right)}")
+    return re.compile("|".join(forms))
+
+
+SLOT = _slots(list(p3_seeds.DELIMITERS))
+#: Slots in delimiters of template languages alone.
+PLAIN_SLOT = _slots([d for d in p3_seeds.DELIMITERS if d[0] not in SHARED_DELIMITERS])
+#: Such delimiters are a sign themselves: the least sum of a slot between them (of others ``BRIEF_FLOOR``).
+PLAIN_SLOT_FLOOR = 0.0
+#: What a slot is scored behind.
+SLOT_CONTEXT = "to "
+#: A text without any of these holds no slot.
+SLOT_SIGNS = ("{", "[", "<", "%", "__", "@@")
 
 
 def _alphabet() -> np.ndarray:
@@ -129,8 +157,23 @@ class Scorer:
         """The greatest window sum of each text (the boundary behind it included)."""
         return {(kind, width): np.maximum.reduceat(w, starts) for kind, width, w, starts, _ in self.windows(texts)}
 
-    def coverage(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """The share of each text's characters that residue windows of each kind cover."""
+    def slotted(self, texts: list[str], slot: re.Pattern) -> np.ndarray:
+        """The numbers of the texts that hold a whole slot. The slot is its own window, scored apart from the text around
+        it: what stands there must not hide it."""
+        found = [(j, m[0]) for j, t in enumerate(texts) if any(d in t for d in SLOT_SIGNS) for m in slot.finditer(t)]
+        if not found:
+            return np.zeros(0, dtype=np.int64)
+        owner, slots = zip(*found, strict=True)
+        s, starts = symbols([SLOT_CONTEXT + x for x in slots], self.alphabet)
+        total = np.concatenate((np.zeros(4), np.cumsum(self.tables["template"][grams(s)] * STEP)))
+        starts = starts + len(SLOT_CONTEXT)
+        ends = starts + np.fromiter((len(x) for x in slots), dtype=np.int64, count=len(slots))
+        floors = np.array([PLAIN_SLOT_FLOOR if PLAIN_SLOT.fullmatch(x) else BRIEF_FLOOR for x in slots])
+        return np.unique(np.array(owner)[total[ends] - total[starts] >= floors])
+
+    def coverage(self, texts: list[str], slot: re.Pattern = SLOT) -> dict[str, np.ndarray]:
+        """The share of each text's characters that residue windows of each kind cover; for template it is ``COVERAGE``
+        at least where the text holds a whole ``slot``, however long it is."""
         out: dict[str, np.ndarray] = {}
         if not texts:
             return {k: np.zeros(0) for k in KINDS}
@@ -150,9 +193,12 @@ class Scorer:
                 end = np.minimum(starts + lengths, len(covered) - 1)
                 out[kind] = (covered[end] - covered[np.minimum(starts, len(covered) - 1)]) / np.maximum(lengths, 1)
                 out[kind][brief] = 1.0
+                if kind == "template":
+                    j = self.slotted(texts, slot)
+                    out[kind][j] = np.maximum(out[kind][j], COVERAGE)
         return out
 
-    def kinds(self, texts: list[str | None]) -> list[str | None]:
+    def kinds(self, texts: list[str | None], slot: re.Pattern = SLOT) -> list[str | None]:
         """The kind of residue for which each text is to be excluded, or None."""
         unique = list({t for t in texts if t and not t.isspace()})
         found: dict[str, str] = {}
@@ -161,7 +207,7 @@ class Scorer:
         held = 0
         for t in [*unique, None]:
             if group and (t is None or held + len(t) > GROUP):
-                cover = self.coverage(group)
+                cover = self.coverage(group, slot)
                 shares = np.stack([cover[k] for k in KINDS])
                 top, share = shares.argmax(axis=0), shares.max(axis=0)
                 for j in np.flatnonzero(share >= COVERAGE):
@@ -193,7 +239,7 @@ def _count_prose(tables: dict[str, np.ndarray], thresholds: dict[str, list[float
         scorer, keys, sums = Scorer(tables, thresholds), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for pdf in frames:
             texts = [t for c in pdf.columns for t in pdf[c] if t]
-            natural = [t for t, k in zip(texts, scorer.kinds(texts), strict=True) if k is None]
+            natural = [t for t, k in zip(texts, scorer.kinds(texts, PLAIN_SLOT), strict=True) if k is None]
             if natural:
                 s, _ = symbols(natural, scorer.alphabet)
                 k, n = np.unique(grams(s)[s[3:] + s[2:-1] > 0], return_counts=True)

@@ -59,6 +59,20 @@ def test_generated_residue_is_told_from_prose_held_out(results):
     assert sum(k is not None for k in scorer.kinds([sentence(rng, ENGLISH) for _ in range(300)])) <= 3
 
 
+def test_one_slot_in_a_long_field(results):
+    scorer, rng = p3_residue.Scorer(*p3_residue.fit(results)), random.Random(5)
+    for size in (200, 800, 2000):
+        for left, right in p3_seeds.DELIMITERS:
+            for name in ("value", "short_answer", "reason"):
+                words = " ".join(sentence(rng, ENGLISH) for _ in range(size // 60)).split(" ")
+                assert scorer.kinds([" ".join(words)]) == [None]
+                words.insert(rng.randrange(len(words)), left + name + right)
+                assert scorer.kinds([" ".join(words)]) == ["template"], words
+    sound = " ".join(sentence(rng, ENGLISH) for _ in range(8))
+    for x in ("[grasper]", "the [liver bed]", "[1]", "[sic]", "between 5 % and 20 %", "(value)", '{"verdict": "correct"}'):
+        assert scorer.kinds([f"{sound} {x} {sound}"]) == [None], x
+
+
 def test_defects(results):
     got = {r.result_id: r.defect_type for r in p1_pairs.found(results).collect()}
     want = {**dict.fromkeys(range(1000, 1005), "empty"), 1010: "truncated", 1011: "truncated", 1020: "refusal", 1021: "refusal", 1030: "copies_question", 1031: "copies_question", 1032: "copies_question", 1040: "other_language", 1041: "other_language"}
