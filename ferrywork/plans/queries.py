@@ -30,6 +30,10 @@ def _items(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "heldout_items").where("item_id % 20 = 0")
 
 
+def _questions(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "questions_v3").where("cast(regexp_extract(qid, '([0-9]+)$', 1) as bigint) % 20 = 0")
+
+
 def _chunks(s: SparkSession, d: str) -> DataFrame:
     """Chunks as first delivered: later copies of a chunk are the same row again."""
     return table(s, d, "chunks_v3").dropDuplicates(["chunk_id"])
@@ -57,9 +61,17 @@ def bm25_fields_topk(s, d):
     return lexical.top_per_query(scores, 5).select("qid", F.col("id").alias("chunk_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def bm25_questions_topk(s, d):
+    """The five best child chunks of each question by nine weighted fields."""
+    chunks = _chunks(s, d).where("level = 'child'")
+    scores = lexical.bm25(chunks, lexical.query_bundle(_questions(s, d)), "chunk_id", "qid", "sparse_query", schema.FIELD_WEIGHTS)
+    return lexical.top_per_query(scores, 5).select("qid", F.col("id").alias("chunk_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _hybrid(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks = _chunks(s, d).where("level = 'child'")
-    bundles = lexical.query_bundle(_items(s, d), "item_id", "text", "question_type", None)
+    bundles = lexical.query_bundle(_questions(s, d))
     scores = lexical.bm25(chunks, bundles, "chunk_id", "qid", "sparse_query", schema.FIELD_WEIGHTS)
     return chunks, bundles, lexical.bonuses(scores, chunks, bundles)
 

@@ -85,3 +85,21 @@ def test_rerank_and_recall(spark):
     assert [r.chunk_id for r in sorted(ranking.rerank(hits, q, Longest()).collect(), key=lambda r: r.position)] == ["b", "a"]
     n = spark.createDataFrame([(1, ["Duct"]), (2, ["x"])], "qid int, needles array<string>")
     assert tuple(ranking.recall_at_k(hits, n).first()) == (2, 1, 0.5)
+
+
+def test_registered_searches_ask_the_questions_with_their_classes(spark, tmp_path):
+    from ferrywork.plans.queries import QUERIES
+
+    names = "doc_title string, source_type string, doc_family string, trust_tier string, collection string, section_title string, section_id string, heading_path string, chunk_type string, contextualized_text string, parent_id string"
+    tags = "anatomy_tags array<string>, instrument_tags array<string>, action_tags array<string>, risk_tags array<string>, phase_scope array<string>"
+    filler = [(f"c{i}", "d1", "child", f"unrelated words {i}", 1, 1) for i in range(8)]
+    rows = [("c9", "d1", "child", "the infundibulum lies here", 2, 2), *filler]
+    schema = f"chunk_id string, doc_id string, level string, text string, page_start int, page_end int, {names}, {tags}"
+    spark.createDataFrame([(*r, *[None] * 9, r[3], *[None] * 6) for r in rows], schema).write.parquet(f"{tmp_path}/chunks_v3.parquet")
+    asked = [(q, "Where?", None, {"gallbladder": 0.5}) for q in ("Q00000020", "Q00000021", "Q00000040", "Q00000100")]
+    spark.createDataFrame(asked, "qid string, question string, question_type string, classes_detected map<string,double>").write.parquet(f"{tmp_path}/questions_v3.parquet")
+    for name in ("bm25_questions_topk", "retrieve_hits"):
+        best = {(r.qid, r.chunk_id) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert {("Q00000020", "c9"), ("Q00000040", "c9"), ("Q00000100", "c9")} <= best and not any(q == "Q00000021" for q, _ in best), name
+    prompts = {r.qid: r.prompt for r in QUERIES["build_prompts"](spark, str(tmp_path)).collect()}
+    assert set(prompts) == {"Q00000020", "Q00000040", "Q00000100"} and all("infundibulum" in p for p in prompts.values())
