@@ -6,7 +6,8 @@ text through them alone). A rare word is linked to the frequent words it turns i
 whose vector fits the words around it is the correction. Lines of the page edge are told by the chunk's pages, the
 document's title and the counted lines; what is left is joined over line-end hyphens and reflowed.
 
-The driver holds words and lines above a share of all (``MIN_SHARE``), so their number is bounded whatever the corpus.
+The driver holds words above a share of all (``MIN_SHARE``), so their number is bounded whatever the corpus. Lines of the
+page edge grow with the documents: up to ``BROADCAST_LIMIT`` they are broadcast, beyond it they are joined to the chunks.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrywork.runtime import BROADCAST_LIMIT
+
 KINDS = ("hyphenation", "misread", "running_header", "page_number")
-#: Least share of all words (lines, pairs) that the model keeps: at most 1 / MIN_SHARE of each.
+#: Least share of all words (pairs) that the model keeps: at most 1 / MIN_SHARE of each.
 MIN_SHARE = 2e-6
 #: Width of the window, vector size, training steps, pairs a step and negatives a pair.
 WINDOW, DIMENSIONS, STEPS, BATCH, NEGATIVES = 3, 40, 150, 8192, 5
@@ -29,6 +32,8 @@ WINDOW, DIMENSIONS, STEPS, BATCH, NEGATIVES = 3, 40, 150, 8192, 5
 RATIO = 12
 #: Least fit to the context (difference from the mean fit of frequent words, in standard deviations).
 FIT = -1.0
+#: What a line of the page edge takes in a set of them, besides its letters.
+LINE_BYTES = 120
 
 # What a glyph is misread as: printed form -> what may stand in its place. Fixed values.
 GLYPHS = {
@@ -106,9 +111,8 @@ def loose_lines(text: str, widest: int = 0) -> Iterator[tuple[int, str]]:
 class Edges:
     """Judges the lines of a chunk by its pages, its document's title and the lines counted over the corpus."""
 
-    def __init__(self, counted: dict[str, tuple[int, int]]):
-        # (times inside a sentence, times elsewhere)
-        self.common = {k for k, (inside, other) in counted.items() if inside >= 2 and inside >= 0.15 * (inside + other)}
+    def __init__(self, common: set[str]):
+        self.common = common
 
     def judge(self, text: str, title: str | None, section: str | None, first: int | None, last: int | None) -> tuple[list[str], dict[int, set[str]]]:
         lines = text.split("\n")
@@ -158,6 +162,18 @@ class Edges:
         return lines, out
 
 
+class _Asked(set):
+    """Holds nothing and notes what was looked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.seen: set[str] = set()
+
+    def __contains__(self, bones: object) -> bool:
+        self.seen.add(bones)
+        return False
+
+
 # --- counting ------------------------------------------------------------------------------------------------------
 
 
@@ -433,7 +449,8 @@ def repair(text: str, title: str | None, section: str | None, first: int | None,
 
 
 def fit(texts: DataFrame, min_share: float = MIN_SHARE) -> tuple:
-    """The model as plain data: word counts, cut, vector places, vectors, counted lines. ``texts``: one column, text."""
+    """The model: word counts, cut, vector places, vectors as plain data, and the lines of the page edge as a table
+    ``bones``. ``texts``: one column, text."""
     sums = texts.where(F.length("text") > 0).mapInPandas(_count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     from ferrywork.runtime import cut as checkpoint
 
@@ -442,30 +459,56 @@ def fit(texts: DataFrame, min_share: float = MIN_SHARE) -> tuple:
     cut = totals.get("w", 0) * min_share
     bound = lambda kind, least: F.col("n") >= max(least, totals.get(kind, 0) * min_share)
     words = sums.where((F.col("kind") == "w") & bound("w", 1)).select("a", "n").toPandas()
-    lines = sums.where((F.col("kind") == "l") & bound("l", 2)).select("a", "n").toPandas()
     pairs = sums.where((F.col("kind") == "p") & bound("p", 3)).select("a", "b", "n").toPandas()
     counts = dict(zip(words["a"], words["n"].astype(int), strict=True))
     frequent = words[words["n"] >= max(10, totals.get("w", 0) * 2e-5)].sort_values(["n", "a"], ascending=[False, True])
     places = {w: i for i, w in enumerate(frequent["a"])}
     pairs = pairs[pairs["a"].isin(places) & pairs["b"].isin(places)].sort_values(["a", "b"])
     v, u = train_vectors(list(places), frequent["n"].to_numpy(dtype=float), pairs["a"].map(places).to_numpy(dtype=np.int64), pairs["b"].map(places).to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=float))
-    counted: dict[str, list[int]] = {}
-    for a, n in zip(lines["a"], lines["n"], strict=True):
-        bones, _, how = a.rpartition("\t")
-        counted.setdefault(bones, [0, 0])[how == "n"] += int(n)
-    return counts, float(cut), places, v, u, {k: tuple(x) for k, x in counted.items()}
+    return counts, float(cut), places, v, u, edge_lines(sums.where("kind = 'l'"))
+
+
+def edge_lines(lines: DataFrame) -> DataFrame:
+    """``bones`` of the counted lines (``a``: skeleton, tab, i inside a sentence or n elsewhere; ``n``) that stand inside
+    a sentence twice at least and in 15 % of all cases. No share of the corpus decides: a header's count is that of its
+    document, however many others there are."""
+    inside, n = F.sum(F.when(F.col("a").endswith("\ti"), F.col("n")).otherwise(0)), F.sum("n")
+    per_line = lines.groupBy(F.substring_index("a", "\t", 1).alias("bones")).agg(inside.alias("inside"), n.alias("n"))
+    return per_line.where("inside >= 2 and inside >= 0.15D * n").select("bones")
+
+
+def _pages(first: object, last: object) -> tuple[int | None, int | None]:
+    return None if pd.isna(first) else int(first), None if pd.isna(last) else int(last)
+
+
+def _ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        rows = []
+        for key, text, title, section, first, last in zip(pdf["key"], pdf["text"], pdf["title"], pdf["section"], pdf["first"], pdf["last"], strict=True):
+            asked = _Asked()
+            Edges(asked).judge(text, title, section, *_pages(first, last))
+            rows += [(key, x) for x in asked.seen]
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "bones"])
+
+
+def with_known(rows: DataFrame, passing: DataFrame) -> DataFrame:
+    """``rows`` with the column ``known``: which of their lines are among the ``passing`` ones."""
+    keyed = rows.withColumn("key", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
+    asked = keyed.mapInPandas(_ask, "key string, bones string").distinct()
+    known = asked.join(passing, "bones").groupBy("key").agg(F.collect_set("bones").alias("known"))
+    return keyed.join(known, "key", "left").drop("key")
 
 
 def _repair(shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, cut, places, v, u, counted = shared.value
-        edges, corrector = Edges(counted), Corrector(counts, cut, places, v, u)
+        counts, cut, places, v, u, common = shared.value
+        edges, corrector = Edges(common), Corrector(counts, cut, places, v, u)
         for pdf in frames:
             rows = []
-            for i, text, title, section, first, last in zip(pdf["id"], pdf["text"], pdf["title"], pdf["section"], pdf["first"], pdf["last"], strict=True):
-                a = None if pd.isna(first) else int(first)
-                b = None if pd.isna(last) else int(last)
-                kinds, new = repair(text, title, section, a, b, edges, corrector)
+            known = pdf["known"] if "known" in pdf else [None] * len(pdf)
+            for i, text, title, section, first, last, own in zip(pdf["id"], pdf["text"], pdf["title"], pdf["section"], pdf["first"], pdf["last"], known, strict=True):
+                kinds, new = repair(text, title, section, *_pages(first, last), edges if own is None else Edges(set(own)), corrector)
                 if kinds:
                     rows.append((i, kinds, new))
             yield pd.DataFrame(rows, columns=["id", "kinds", "repaired"])
@@ -474,7 +517,8 @@ def _repair(shared):
 
 
 def repair_scans(
-    df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", title_col: str = "doc_title", section_col: str = "section_title", first_col: str = "page_start", last_col: str = "page_end"
+    df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", title_col: str = "doc_title", section_col: str = "section_title", first_col: str = "page_start", last_col: str = "page_end",
+    broadcast_limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """``id, kinds, repaired`` of every disturbed text: its kinds of noise and its text as continuous paragraphs.
 
@@ -485,7 +529,14 @@ def repair_scans(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(title_col).alias("title"), F.col(section_col).alias("section"),
         F.col(first_col).cast("double").alias("first"), F.col(last_col).cast("double").alias("last"),
     ).where(F.length("text") > 0)
-    shared = df.sparkSession.sparkContext.broadcast(fit(rows.select("text")))
+    *model, passing = fit(rows.select("text"))
+    held = passing.agg(F.coalesce(F.sum(F.length("bones") + LINE_BYTES), F.lit(0))).first()[0]
+    common: set[str] = set()
+    if held <= broadcast_limit:
+        common = {r["bones"] for r in passing.collect()}
+    else:
+        rows = with_known(rows, passing)
+    shared = df.sparkSession.sparkContext.broadcast((*model, common))
     return rows.mapInPandas(_repair(shared), "id string, kinds array<string>, repaired string")
 
 

@@ -51,6 +51,22 @@ def test_found_is_distinct_and_empty_table(chunks):
     assert P.found(chunks).count() == 7 and P.found(chunks.limit(0)).count() == 0
 
 
+def test_a_header_of_one_document_is_found_in_a_large_corpus(spark, chunks):
+    # 3 lines of one document among 4,000,000 others: a share of 2e-6 would ask for 8
+    lines = [("otherline\tn", 4_000_000), ("ownheader\ti", 3), ("mixedline\ti", 2), ("mixedline\tn", 12), ("rareline\ti", 1), ("edgeline\ti", 3), ("edgeline\tn", 17)]
+    assert {r.bones for r in P.edge_lines(spark.createDataFrame(lines, "a string, n long")).collect()} == {"ownheader", "edgeline"}
+
+
+def test_lines_too_many_to_broadcast_are_joined(spark, chunks):
+    page = "The gallbladder fundus should be free of adhesions before the\nsuction irrigator is advanced beyond the cystic artery. During washout the\nVale Institute Quarterly\nhepatic flexure is pulled medially so that the cystic artery\ncomes into line with the hook cautery."
+    rows = [(f"v{i}", page, None, "Methods", 30, 31) for i in (0, 1, 1)]
+    more = chunks.select("chunk_id", "text", "doc_title", "section_title", "page_start", "page_end").unionByName(spark.createDataFrame(rows, "chunk_id string, text string, doc_title string, section_title string, page_start int, page_end int"))
+    got = lambda limit: sorted((r.id, *r.kinds, r.repaired) for r in P.repair_scans(more, broadcast_limit=limit).collect())
+    joined = got(0)
+    assert [r[:-1] for r in joined if r[0].startswith("v")] == [("v0", "running_header"), ("v1", "running_header"), ("v1", "running_header")]
+    assert joined == got(P.BROADCAST_LIMIT)
+
+
 def test_skeletons_and_edits():
     assert P.skeleton("Vale Institute Reports 2015") == P.skeleton("VaIe lnstitiite Reporfs") == P.skeleton("vale institute reports")
     assert "gallbladder" in P.originals("ga1lbladder") and "common" in P.originals("cornmon") and "said" not in P.originals("cat")
