@@ -5,6 +5,9 @@ none). A sparse table over the strengths answers range-maximum queries in consta
 strongest boundary of its permissible length window, the rightmost of equal ones, and the next piece starts the set
 overlap before that end.
 
+The kind of a text's cuts comes from the same index: it walks the ends of the natural units, from each to the strongest
+end within the limit, and the weakest end it has to take tells which units fit.
+
 Only texts above their limit reach Python; all others are whole pieces and stay in the JVM.
 """
 
@@ -26,6 +29,7 @@ LIMITS: dict[str | None, tuple[int, int]] = {"parent": (800, 80), None: (250, 30
 PARAGRAPH, SENTENCE, CLAUSE, WORD = 4, 3, 2, 1
 _PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_SENTENCE_IN_LINE = re.compile(r"(?<=[.!?])[^\S\n]+")
 _LINE = re.compile(r"\n")
 _CLAUSE = re.compile(r"(?<=[,;:])\s+|(?<=\s)[–—](?=\s)")
 _WORD = re.compile(r"\s+")
@@ -91,13 +95,35 @@ def split_text(text: str, limit: int, overlap: int, unit: int = UNIT) -> list[tu
         start = place - shared
 
 
+def unit_ends(text: str) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(strength of the natural unit that ends before each character; by strength, where the unit behind begins)."""
+    ends = np.zeros(len(text) + 1, dtype=np.int8)
+    follows = {k: np.zeros(len(text) + 1, dtype=np.int64) for k in (SENTENCE, PARAGRAPH)}
+    for strength, pattern in ((SENTENCE, _SENTENCE_IN_LINE), (SENTENCE, _LINE), (PARAGRAPH, _PARAGRAPH)):
+        for m in pattern.finditer(text):
+            ends[m.start()], follows[strength][m.start()] = strength, m.end()
+    ends[-1] = PARAGRAPH
+    return ends, follows
+
+
 def cut_kind(text: str, limit: int, unit: int = UNIT) -> str:
-    """Which natural units of the text all fit the limit: ``paragraph``, ``sentence`` (or line), or ``none``."""
-    fits = lambda parts: all(len(p) // unit <= limit for p in parts)
-    if fits(_PARAGRAPH.split(text)):
-        return "paragraph"
-    if fits(p for line in text.split("\n") for p in _SENTENCE.split(line)):
-        return "sentence"
+    """Which natural units of the text all fit the limit: ``paragraph``, ``sentence`` (or line), or ``none``.
+
+    From the beginning of a unit the index gives the strongest end within the limit, the rightmost of equal ones; the
+    walk goes on behind it. Where no end of the wanted strength is in reach, a unit exceeds the limit.
+    """
+    longest, n = limit * unit + unit - 1, len(text)
+    ends, follows = unit_ends(text)
+    index = RangeMaximum(ends)
+    for wanted, name in ((PARAGRAPH, "paragraph"), (SENTENCE, "sentence")):
+        start = 0
+        while True:
+            place, strength = index.query(start, min(n, start + longest))
+            if strength < wanted:
+                break
+            if place == n:
+                return name
+            start = int(follows[wanted][place])
     return "none"
 
 
@@ -167,5 +193,5 @@ def split_oversized(
 
 
 def found(df: DataFrame) -> DataFrame:
-    """Distinct ``chunk_id, cut_kind`` of the chunks above their limit, as the pieces tell them."""
+    """Distinct ``chunk_id, cut_kind`` of the chunks above their limit, as the index tells them."""
     return split_oversized(df, keep_small=False).select(F.col("id").alias("chunk_id"), "cut_kind").distinct()

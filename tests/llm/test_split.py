@@ -47,6 +47,15 @@ def test_cut_kinds():
     assert P.cut_kind("a b " * 40, 10) == "none"
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab .\n!?é \t", max_size=300), st.integers(1, 12))
+def test_cut_kinds_against_splitting(text, limit):
+    fits = lambda parts: all(len(p) // P.UNIT <= limit for p in parts)
+    by_sentence = [p for line in text.split("\n") for p in P._SENTENCE.split(line)]
+    want = "paragraph" if fits(P._PARAGRAPH.split(text)) else "sentence" if fits(by_sentence) else "none"
+    assert P.cut_kind(text, limit) == want
+
+
 def test_table_cases(spark):
     rows = [("a", None, None, "t", 1), ("b", "", "child", None, 1), ("c", "x " * 1000, "child", "t", 1), ("d", "y" * 3300, "parent", "t", 1), ("c", "x " * 1000, "child", "t", 1), ("e", "é" * 1003, None, "t", 1), ("f", "z" * 200_000, "child", "t", 1)]
     df = spark.createDataFrame(rows, "chunk_id string, text string, level string, section_title string, piece int")
