@@ -5,8 +5,10 @@ one piece whole; for every L >= 22 the shortest such piece has six words. Each s
 therefore a seed, every document is looked up seed by seed, and around each hit the item's windows are compared with
 the document by Myers' bit-parallel distance with words as its symbols.
 
-The item side (seeds and windows) is broadcast after a check of its size; beyond ``max_item_words`` words the items are
-taken in blocks, each a pass over the corpus, so a large test set costs time and never memory.
+Seeds are looked up by hashes that roll over the words of a whole batch of documents at once; the distance confirms every
+hit, so a chance collision costs time and changes nothing. The item side (seeds and words) is broadcast; beyond
+``max_item_words`` words or ``BROADCAST_LIMIT`` bytes the items are taken in blocks, each a pass over the corpus. A block
+leaves the driver's memory for the broadcast's file as soon as it is closed, so a large test set costs time and not memory.
 """
 
 from __future__ import annotations
@@ -16,19 +18,28 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrywork.runtime import BROADCAST_LIMIT
+
 #: Fewest words of a leaked passage, and words for each permitted edit.
 MIN_WORDS, WORDS_PER_EDIT = 22, 8
 #: Most words of items that one pass over the corpus holds.
 MAX_ITEM_WORDS = 2_000_000
+#: What a word of an item takes in a block (its text, its place and its seed), in bytes besides its letters.
+WORD_BYTES = 90
+#: Documents whose words are looked up at once.
+BATCH = 1000
 
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\\[a-z]+(?=\{)")
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = {c: None for c in (*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xAD, 0xFEFF, 0x34F, 0x61C, 0x180E)}
-_APOSTROPHE = {0x2019: None, 0x27: None, 0x2BC: None}
+# Apostrophes inside words. Fixed values.
+_APOSTROPHES = "'’ʼ"
 
 
 def words(text: str) -> list[str]:
@@ -37,7 +48,9 @@ def words(text: str) -> list[str]:
         text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
     if "<" in text or "&" in text or "\\" in text:
         text = _MARKUP.sub(" ", text)
-    return _WORD.findall(text.translate(_APOSTROPHE).casefold())
+    for c in _APOSTROPHES:
+        text = text.replace(c, "")
+    return _WORD.findall(text.casefold())
 
 
 def seed_length(min_words: int = MIN_WORDS, per_edit: int = WORDS_PER_EDIT) -> int:
@@ -88,28 +101,26 @@ def _confirmed(doc: list[str], item: list[str], hits: list[tuple[int, int]], min
             row[-1][1] = p
         else:
             row.append([p, p])
-    places: dict[str, list[int]] | None = None
     tried: set[tuple[int, int, int]] = set()
     reach, drift = lengths[-1], lengths[-1] // per_edit
     for diagonal, row in runs.items():
         for first, last in row:
             if last - first + seed >= min_words:
                 return True
-            if places is None:
-                places = {}
-                for q, w in enumerate(item):
-                    places.setdefault(w, []).append(q)
-            # words of the neighbourhood that stand in the item at about the same place: too few, and no window can pass
-            low, high = first + diagonal - reach, last + diagonal + seed + reach
-            near = sum(
-                any(abs(x - diagonal - q) <= drift for q in places.get(doc[x], ()))
-                for x in range(max(0, low), min(len(doc), high))
-            )
+            # words of the item that the document has within the drift of the diagonal: a window passes only if it has
+            # at most its budget of others
+            low, high = max(0, first + seed - reach), min(len(item), last + reach)
+            kept = [0]
+            for q in range(low, high):
+                at = q + diagonal - drift
+                kept.append(kept[-1] + (item[q] in doc[max(0, at) : max(0, at + 2 * drift + 1)]))
             for n in lengths:
                 budget = n // per_edit
-                if n > len(item) or near < n - budget:
+                if n > len(item):
                     break
                 for i in range(max(0, first + seed - n), min(last, len(item) - n) + 1):
+                    if kept[i + n - low] - kept[i - low] < n - budget:
+                        continue
                     begin = max(0, i + diagonal - budget)
                     if (i, n, begin) in tried:
                         continue
@@ -120,21 +131,57 @@ def _confirmed(doc: list[str], item: list[str], hits: list[tuple[int, int]], min
     return False
 
 
-def _search(seeds: dict[str, list[tuple[int, int]]], items: dict[int, list[str]], seed: int, min_words: int, per_edit: int):
+def rolled(codes: np.ndarray, kinds: list[str], seed: int) -> np.ndarray:
+    """The hash of each ``seed`` words in a row; ``codes`` number the words in ``kinds``."""
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in kinds], dtype=np.uint64)[codes]
+    n = max(0, len(h) - seed + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(seed):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    return out ^ (out >> np.uint64(32))
+
+
+def seeds_of(texts: list[list[str]], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes, number of the text, place of the first word) of all seeds."""
+    keys, owners, places = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
+    for k, ws in enumerate(texts):
+        codes, kinds = pd.factorize(np.array(ws, dtype=object))
+        h = rolled(codes, list(kinds), seed)
+        keys.append(h)
+        owners.append(np.full(len(h), k, dtype=np.int32))
+        places.append(np.arange(len(h), dtype=np.int32))
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    return key[order], np.concatenate(owners)[order], np.concatenate(places)[order]
+
+
+def _search(shared, seed: int, min_words: int, per_edit: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, owners, places, items, ids = shared.value
+        seen = np.zeros(1 << 20, dtype=bool)
+        seen[keys >> np.uint64(44)] = True
         for pdf in frames:
             out: list[tuple] = []
-            for doc_id, text in zip(pdf["id"], pdf["text"], strict=True):
-                doc = words(text)
-                hits: dict[int, list[tuple[int, int]]] = {}
-                for d in range(len(doc) - seed + 1):
-                    found = seeds.get(" ".join(doc[d : d + seed]))
-                    if found:
-                        for item, p in found:
-                            hits.setdefault(item, []).append((d, p))
-                for item, at in hits.items():
-                    if _confirmed(doc, items[item], at, min_words, per_edit):
-                        out.append((doc_id, item))
+            for at in range(0, len(pdf), BATCH):
+                names = pdf["id"].iloc[at : at + BATCH].to_numpy()
+                docs = [words(t) for t in pdf["text"].iloc[at : at + BATCH]]
+                sizes = np.fromiter((len(d) for d in docs), dtype=np.int64, count=len(docs))
+                codes, kinds = pd.factorize(np.array([w for d in docs for w in d], dtype=object))
+                h = rolled(codes, list(kinds), seed)
+                hit = np.flatnonzero(seen[h >> np.uint64(44)])
+                low, high = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
+                starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, dtype=np.int64)
+                owner = np.searchsorted(starts, hit, side="right") - 1
+                hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                for x, o, a, z in zip(hit, owner, low, high, strict=True):
+                    d = int(x - starts[o])
+                    if d + seed <= sizes[o]:  # not across two documents
+                        for j in range(a, z):
+                            hits.setdefault((int(o), int(owners[j])), []).append((d, int(places[j])))
+                for (o, k), where in hits.items():
+                    where = [(d, p) for d, p in where if docs[o][d : d + seed] == items[k][p : p + seed]]
+                    if where and _confirmed(docs[o], items[k], where, min_words, per_edit):
+                        out.append((names[o], ids[k]))
             yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype({"doc_id": "int64", "item_id": "int64"})
 
     return run
@@ -156,7 +203,8 @@ def find_leaks(
 
     Null or empty texts and null ids match nothing, nor do items shorter than ``min_words``. Repeated documents give one
     row; an item id given twice stands for both texts. Other columns are not read. The corpus is never shuffled; the
-    items are read by the driver block by block, ``max_item_words`` words each.
+    items are read by the driver block by block, ``max_item_words`` words or ``BROADCAST_LIMIT`` bytes each (one text
+    more at most).
     """
     seed = seed_length(min_words, words_per_edit)
     docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null")
@@ -164,28 +212,23 @@ def find_leaks(
     parts: list[DataFrame] = []
 
     def one_pass(texts: list[tuple[int, list[str]]]) -> None:
-        # an id may have several texts: the search sees their places, the result their ids
-        ids = [i for i, _ in texts]
-        seeds: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, ws) in enumerate(texts):
-            for p in range(len(ws) - seed + 1):
-                seeds[" ".join(ws[p : p + seed])].append((k, p))
-        search = _search(dict(seeds), {k: ws for k, (_, ws) in enumerate(texts)}, seed, min_words, words_per_edit)
-        found = docs.mapInPandas(search, "doc_id long, item_id long")
-        names = documents.sparkSession.createDataFrame(list(enumerate(ids)), "k long, item long")
-        parts.append(found.join(F.broadcast(names), found["item_id"] == names["k"]).select("doc_id", F.col("item").alias("item_id")))
+        # an id may have several texts: the search sees their numbers, the result their ids
+        every = [ws for _, ws in texts]
+        shared = documents.sparkSession.sparkContext.broadcast((*seeds_of(every, seed), every, [i for i, _ in texts]))
+        parts.append(docs.mapInPandas(_search(shared, seed, min_words, words_per_edit), "doc_id long, item_id long"))
 
     block: list[tuple[int, list[str]]] = []
-    held = 0
+    held = size = 0
     for row in wanted.toLocalIterator():
         ws = words(row["text"])
         if len(ws) < min_words:
             continue
         block.append((row["id"], ws))
         held += len(ws)
-        if held >= max_item_words:
+        size += WORD_BYTES * len(ws) + len(row["text"])
+        if held >= max_item_words or size >= BROADCAST_LIMIT:
             one_pass(block)
-            block, held = [], 0
+            block, held, size = [], 0, 0
     if block:
         one_pass(block)
     if not parts:
