@@ -2,8 +2,9 @@
 
 One-versus-rest logistic classifiers over hashed words and word pairs judge sentences. They are trained from document
 labels only: documents first, then their sentences, each given in turns to that label of its document which the last
-classifiers find likeliest, or to none; then once more with documents the classifiers are sure of. A document has the
-subjects whose share of its sentences passes thresholds calibrated on labelled documents, one to three of them.
+classifiers find likeliest, or to none. A document has the subjects whose share of its sentences passes thresholds, one
+to three of them. The thresholds are calibrated on labelled documents that the classifiers have not seen: the executors
+judge all of them and the driver receives counts by share.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled documents, and most others, that the classifiers are trained on.
-LABELLED, UNLABELLED = 6000, 4000
+#: Most labelled documents that the classifiers are trained on, and one labelled document in how many is kept from them.
+LABELLED, HELD = 8000, 4
 HASHED = 1 << 16
 MOST = 3
+#: Least probabilities of a sentence that are tried, bins of a share, and what holds without calibration.
+LEAST, BINS, DEFAULT = (0.3, 0.4, 0.5, 0.6), 100, (0.3, 0.2)
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»)]*\s+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -97,90 +100,124 @@ def shares(best: np.ndarray, sure: np.ndarray, owner: np.ndarray, docs: int, k:
     return out / np.maximum(np.bincount(owner, minlength=docs), 1)[:, None]
 
 
+def ranked(share: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The rank of each subject in its document, from 0: by share, then by mean probability."""
+    return np.argsort(np.argsort(-(share + 1e-3 * mean), axis=1, kind="stable"), axis=1, kind="stable")
+
+
+def binned(share: np.ndarray) -> np.ndarray:
+    return np.floor(share * BINS + 1e-9).astype(np.int64)
+
+
 def decide(share: np.ndarray, mean: np.ndarray, threshold: np.ndarray) -> np.ndarray:
-    """One to three subjects of each document: those at or above their thresholds, at least the strongest."""
-    ratio = share / threshold + 1e-3 * mean
-    rank = np.argsort(np.argsort(-ratio, axis=1), axis=1)
-    return (rank == 0) | ((share >= threshold) & (rank < MOST))
+    """One to three subjects of each document: the strongest, and those at or above their thresholds (in bins)."""
+    rank = ranked(share, mean)
+    return (rank == 0) | ((binned(share) >= threshold) & (rank < MOST))
 
 
-def fit(docs: list[tuple[str, list[int] | None]], k: int) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """(weights, biases, least sentence probability, share thresholds) from texts with subject numbers or None."""
+def fit(docs: list[tuple[str, list[int]]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, biases) from texts with subject numbers."""
     hasher = Hasher()
     texts = [sentences(t) for t, _ in docs]
     flat = [s for ss in texts for s in ss]
     owner = np.repeat(np.arange(len(docs)), [len(ss) for ss in texts])
-    if not flat or all(y is None for _, y in docs):
-        return np.zeros((HASHED, k), dtype=np.float32), np.zeros(k), 0.5, np.full(k, 0.2)
+    if not flat:
+        return np.zeros((HASHED, k), dtype=np.float32), np.zeros(k)
     kinds: dict[str, int] = {}
     kind_of = np.array([kinds.setdefault(s, len(kinds)) for s in flat])
     hashed = [hasher(s) for s in kinds]
-    labelled = np.array([y is not None for _, y in docs])
     allowed = np.zeros((len(docs), k), dtype=bool)
     for i, (_, y) in enumerate(docs):
-        if y is not None:
-            allowed[i, y] = True
+        allowed[i, y] = True
     # documents first
-    whole = Sparse([list({i for s in ss for i in hashed[kinds[s]]}) for ss, on in zip(texts, labelled, strict=True) if on])
-    w, b = train(whole, allowed[labelled].astype(float), np.ones(int(labelled.sum())), rounds=30)
+    w, b = train(Sparse([list({i for s in ss for i in hashed[kinds[s]]}) for ss in texts]), allowed.astype(float), np.ones(len(docs)), rounds=30)
     x = Sparse(hashed)
-
-    def sentence_round(use: np.ndarray, w: np.ndarray, b: np.ndarray, rounds: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
-        score = (x.dot(w) + (0 if first else b))[kind_of]
-        on = use[owner]
-        may = np.where(allowed[owner], score, -np.inf)
-        best = may.argmax(axis=1)
+    n = np.bincount(kind_of, minlength=len(kinds)).astype(float)
+    for step in range(3):
+        score = (x.dot(w) + (b if step else 0))[kind_of]
+        best = np.where(allowed[owner], score, -np.inf).argmax(axis=1)
         own = np.take_along_axis(score, best[:, None], axis=1)[:, 0]
-        given = on & (own > (score.mean(axis=1) if first else -1.0))
+        given = own > (-1.0 if step else score.mean(axis=1))
         target = np.zeros((len(kinds), k))
         np.add.at(target, (kind_of[given], best[given]), 1.0)
-        n = np.bincount(kind_of[on], minlength=len(kinds)).astype(float)
-        return train(x, target / np.maximum(n, 1)[:, None], np.sqrt(n), rounds=rounds)
-
-    w, b = sentence_round(labelled, w, b, 25, True)
-    for _ in range(2):
-        w, b = sentence_round(labelled, w, b, 25, False)
-    everything = labelled.copy()
-    if not labelled.all():
-        p = 1 / (1 + np.exp(-(x.dot(w) + b)))[kind_of]
-        best = p.argmax(axis=1)
-        share = shares(best, p.max(axis=1) > 0.5, owner, len(docs), k)
-        certain = ~labelled & (share.sum(axis=1) >= 0.5)
-        allowed[certain] = share[certain] >= 0.2
-        everything |= certain
-        for _ in range(2):
-            w, b = sentence_round(everything, w, b, 25, False)
-    p = (1 / (1 + np.exp(-(x.dot(w) + b))))[kind_of]
-    best, top = p.argmax(axis=1), p.max(axis=1)
-    truth = np.zeros((len(docs), k), dtype=bool)
-    for i, (_, y) in enumerate(docs):
-        if y is not None:
-            truth[i, y] = True
-    mean = np.zeros((len(docs), k))
-    for c in range(k):
-        mean[:, c] = np.bincount(owner, weights=p[:, c], minlength=len(docs)) / np.maximum(np.bincount(owner, minlength=len(docs)), 1)
-    choice = (-1.0, 0.5, 0.2)
-    for least in (0.3, 0.4, 0.5, 0.6):
-        share = shares(best, top >= least, owner, len(docs), k)[labelled]
-        for t in np.arange(0.12, 0.32, 0.01):
-            got = decide(share, mean[labelled], np.full(k, t))
-            hit = (got & truth[labelled]).sum()
-            f1 = 2 * hit / max(1, got.sum() + truth[labelled].sum())
-            if f1 > choice[0] + 1e-4:
-                choice = (f1, least, float(t))
-    _, least, t = choice
-    threshold = np.full(k, t)
-    share = shares(best, top >= least, owner, len(docs), k)[labelled]
-    for c in range(k):  # each subject's own threshold, drawn to the common one where it has few labels
-        options = []
-        for own in np.arange(t - 0.06, t + 0.065, 0.01):
-            trial = threshold.copy()
-            trial[c] = own
-            got = decide(share, mean[labelled], trial)[:, c]
-            hit = (got & truth[labelled][:, c]).sum()
-            options.append((2 * hit / max(1, got.sum() + truth[labelled][:, c].sum()) - 0.2 * abs(own - t), own))
-        threshold[c] = max(options)[1]
-    return w.astype(np.float32), b, least, threshold
+        w, b = train(x, target / n[:, None], np.sqrt(n), rounds=25)
+    return w.astype(np.float32), b
+
+
+def sentence_scores(texts: list[str], w: np.ndarray, b: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities by sentence and subject, the number of the text each sentence is of)."""
+    parts = [sentences(t) for t in texts]
+    kinds: dict[str, int] = {}
+    kind_of = np.array([kinds.setdefault(s, len(kinds)) for ss in parts for s in ss], dtype=np.int64)
+    owner = np.repeat(np.arange(len(parts)), [len(ss) for ss in parts])
+    if not len(kind_of):
+        return np.zeros((0, w.shape[1])), owner
+    return (1 / (1 + np.exp(-np.clip(Sparse([hasher(s) for s in kinds]).dot(w) + b, -30, 30))))[kind_of], owner
+
+
+def document_means(p: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    sums = np.stack([np.bincount(owner, weights=p[:, c], minlength=docs) for c in range(p.shape[1])], axis=1)
+    return sums / np.maximum(np.bincount(owner, minlength=docs), 1)[:, None]
+
+
+def _count_shares(shared, k: int):
+    """For each least probability, subject, place (strongest or not) and bin of the share: documents, and right ones.
+
+    Cells below 0 count the documents that have a subject."""
+    shape = (len(LEAST), k, 2, BINS + 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, b = shared.value
+        hasher, got, hit, truth = Hasher(), np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64), np.zeros(k, dtype=np.int64)
+        for pdf in frames:
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
+                p, owner = sentence_scores(list(part["text"]), w, b, hasher)
+                if not len(p):
+                    continue
+                real = np.zeros((len(part), k), dtype=bool)
+                for i, y in enumerate(part["subjects"]):
+                    real[i, list(y)] = True
+                truth += real.sum(axis=0)
+                mean = document_means(p, owner, len(part))
+                for j, least in enumerate(LEAST):
+                    share = shares(p.argmax(axis=1), p.max(axis=1) >= least, owner, len(part), k)
+                    rank = ranked(share, mean)
+                    doc, c = np.nonzero(rank < MOST)
+                    cell = (j, c, np.minimum(rank[doc, c], 1), binned(share[doc, c]))
+                    np.add.at(got, cell, 1)
+                    np.add.at(hit, cell, real[doc, c].astype(np.int64))
+        at = np.flatnonzero(got)
+        yield pd.DataFrame({"cell": np.concatenate((at, -1 - np.arange(k))), "got": np.concatenate((got.ravel()[at], truth)), "hit": np.concatenate((hit.ravel()[at], truth))})
+
+    return run
+
+
+def thresholds(counts: pd.DataFrame, k: int) -> tuple[float, np.ndarray]:
+    """(least sentence probability, share threshold of each subject in bins) of the best F1 over the counted documents."""
+    shape = (len(LEAST), k, 2, BINS + 1)
+    none = (DEFAULT[0], np.full(k, round(DEFAULT[1] * BINS)))
+    cell = counts["cell"].to_numpy(dtype=np.int64)
+    truth = np.zeros(k)
+    truth[-1 - cell[cell < 0]] = counts["got"].to_numpy()[cell < 0]
+    if not truth.sum():
+        return none
+    tables = []
+    for name in ("got", "hit"):
+        flat = np.zeros(int(np.prod(shape)))
+        flat[cell[cell >= 0]] = counts[name].to_numpy()[cell >= 0]
+        x = flat.reshape(shape)
+        # by threshold: all strongest subjects, and the others from the threshold's bin on
+        tables.append(x[:, :, 0].sum(axis=-1)[..., None] + np.cumsum(x[:, :, 1, ::-1], axis=-1)[..., ::-1])
+    got, hit = tables
+    common = range(round(0.12 * BINS), round(0.32 * BINS))
+    f1 = lambda h, g, n: 2 * h / max(1.0, g + n)
+    _, j, t = max((round(f1(hit[j, :, t].sum(), got[j, :, t].sum(), truth.sum()), 4), -j, t) for j in range(len(LEAST)) for t in common)
+    j = -j
+    # each subject's own threshold, drawn to the common one where it has few labels
+    near = range(t - round(0.06 * BINS), t + round(0.06 * BINS) + 1)
+    own = [max((f1(hit[j, c, o], got[j, c, o], truth[c]) - 0.2 * abs(o - t) / BINS, o) for o in near)[1] for c in range(k)]
+    return LEAST[j], np.array(own)
 
 
 def _judge(shared):
@@ -190,17 +227,12 @@ def _judge(shared):
         for pdf in frames:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
-                texts = [sentences(t) for t in part["text"]]
-                kinds: dict[str, int] = {}
-                kind_of = np.array([kinds.setdefault(s, len(kinds)) for ss in texts for s in ss], dtype=np.int64)
-                owner = np.repeat(np.arange(len(texts)), [len(ss) for ss in texts])
-                if not len(kind_of):
+                p, owner = sentence_scores(list(part["text"]), w, b, hasher)
+                if not len(p):
                     continue
-                p = (1 / (1 + np.exp(-np.clip(Sparse([hasher(s) for s in kinds]).dot(w) + b, -30, 30))))[kind_of]
-                share = shares(p.argmax(axis=1), p.max(axis=1) >= least, owner, len(texts), len(names))
-                mean = np.stack([np.bincount(owner, weights=p[:, c], minlength=len(texts)) for c in range(len(names))], axis=1) / np.maximum(np.bincount(owner, minlength=len(texts)), 1)[:, None]
-                got = decide(share, mean, threshold)
-                got[[not ss for ss in texts]] = False
+                share = shares(p.argmax(axis=1), p.max(axis=1) >= least, owner, len(part), len(names))
+                got = decide(share, document_means(p, owner, len(part)), threshold)
+                got[np.bincount(owner, minlength=len(part)) == 0] = False
                 doc, subject = np.nonzero(got)
                 yield pd.DataFrame({"doc_id": part["id"].to_numpy()[doc], "subject": names[subject], "share": share[doc, subject]})
 
@@ -208,25 +240,32 @@ def _judge(shared):
 
 
 def assign_subjects(
-    documents: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text_col: str = "text", subject_col: str = "subject", labelled: int = LABELLED, unlabelled: int = UNLABELLED
+    documents: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text_col: str = "text", subject_col: str = "subject", labelled: int = LABELLED
 ) -> DataFrame:
     """``doc_id, subject, share``: one to three rows for each document with a word in it.
 
     Null and blank texts get no row. ``labels`` holds ``doc_id, subject``; labels of unknown documents or subjects and
     null labels are left out, and a document labelled twice has both labels. Without any label, every document gets the
-    alphabetically first subject with share 0. At most ``labelled`` labelled and ``unlabelled`` other documents, by the
-    order of their hashed ids, train the classifiers; all documents are judged. The list of subjects is read whole.
+    alphabetically first subject with share 0. One labelled document in ``HELD``, by its hashed id, is kept from the
+    classifiers; of the others at most ``labelled``, by the order of their hashed ids, train them. All labelled documents
+    that do not train calibrate the thresholds, all documents are judged. The list of subjects is read whole.
     """
+    spark = documents.sparkSession
     names = sorted({r[0] for r in subjects.select(subject_col).distinct().collect() if r[0]})
     number = {s: i for i, s in enumerate(names)}
+    k = max(1, len(names))
     docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0)
-    marks = labels.select(F.col(doc_id).cast("long").alias("label_id"), F.col(subject_col).alias("subject")).where(F.col("subject").isin(names)).groupBy("label_id").agg(F.collect_set("subject").alias("subjects"))
-    rule = F.xxhash64("id")
-    known = docs.join(marks, docs["id"] == marks["label_id"]).orderBy(rule, "id", "text").limit(labelled).select("text", "subjects").collect()
-    others = docs.join(marks, docs["id"] == marks["label_id"], "left_anti").orderBy(rule, "id", "text").limit(unlabelled).select("text").collect()
-    rows = [(r["text"], [number[s] for s in r["subjects"]]) for r in known] + [(r["text"], None) for r in others]
-    model = (names, *fit(rows, max(1, len(names))))
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    marks = labels.select(F.col(doc_id).cast("long").alias("label_id"), F.col(subject_col).alias("subject")).where(F.col("subject").isin(names))
+    coded = F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), F.col("subject")) if number else F.lit(0)
+    marks = marks.groupBy("label_id").agg(F.array_sort(F.collect_set(coded)).alias("subjects"))
+    marked = docs.join(marks, docs["id"] == marks["label_id"]).select("id", "text", "subjects", F.xxhash64("id").alias("h"))
+    held = F.pmod("h", F.lit(HELD)) == 0
+    known = marked.where(~held).orderBy("h", "id", "text").limit(labelled).select("text", "subjects", "h").collect()
+    classifiers = fit([(r["text"], r["subjects"]) for r in known], k)
+    beyond = F.col("h") > known[-1]["h"] if len(known) == labelled and known else F.lit(False)
+    counts = marked.where(held | beyond).select("text", "subjects").mapInPandas(_count_shares(spark.sparkContext.broadcast(classifiers), k), "cell long, got long, hit long")
+    least, threshold = thresholds(counts.groupBy("cell").agg(F.sum("got").alias("got"), F.sum("hit").alias("hit")).toPandas(), k)
+    shared = spark.sparkContext.broadcast((names or [""], *classifiers, least, threshold))
     return docs.mapInPandas(_judge(shared), "doc_id long, subject string, share double")
 
 
