@@ -1,8 +1,9 @@
 """Problem 2: noise in text from scanned pages.
 
-One pass over the corpus counts words, word pairs within a few words of each other, and short lines that stand alone or
-break a sentence. Skip-gram vectors with negative sampling are trained on the pair counts (the objective depends on the
-text through them alone). A rare word is linked to the frequent words it turns into by plausible glyph edits; the word
+One pass over the corpus counts words and short lines that stand alone or break a sentence, a second one the pairs of
+frequent words within a few words of each other; which words are frequent is decided by their sums over all texts, so no
+count depends on how the texts are partitioned. Skip-gram vectors with negative sampling are trained on the pair counts
+(the objective depends on the text through them alone), with a number of draws in proportion to the vocabulary. A rare word is linked to the frequent words it turns into by plausible glyph edits; the word
 whose vector fits the words around it is the correction. Lines of the page edge are told by the chunk's pages, the
 document's title and the counted lines; what is left is joined over line-end hyphens and reflowed.
 
@@ -26,8 +27,10 @@ from ferrywork.runtime import BROADCAST_LIMIT
 KINDS = ("hyphenation", "misread", "running_header", "page_number")
 #: Least share of all words (pairs) that the model keeps: at most 1 / MIN_SHARE of each.
 MIN_SHARE = 2e-6
-#: Width of the window, vector size, training steps, pairs a step and negatives a pair.
-WINDOW, DIMENSIONS, STEPS, BATCH, NEGATIVES = 3, 40, 150, 8192, 5
+#: Least share of all words, and least number, of a word that has vectors: at most 1 / VECTOR_SHARE words have them.
+VECTOR_SHARE, VECTOR_COUNT = 2e-5, 10
+#: Width of the window, vector size, fewest training steps, draws for each word of the vocabulary, pairs a step, negatives a pair.
+WINDOW, DIMENSIONS, STEPS, DRAWS, BATCH, NEGATIVES = 3, 40, 150, 1300, 8192, 5
 #: A correction is so many times as common as the word it replaces.
 RATIO = 12
 #: Least fit to the context (difference from the mean fit of frequent words, in standard deviations).
@@ -183,36 +186,12 @@ def _plain(text: str) -> str:
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``kind, a, n``: words (w) and loose lines (l)."""
     singles: Counter = Counter()
-    pairs: dict[tuple[str, str], int] = {}
     lines: Counter = Counter()
-    tokens: list[str] = []
-
-    def flush() -> None:
-        codes, kinds = pd.factorize(np.array(tokens, dtype=object))
-        n = np.bincount(codes, minlength=len(kinds))
-        for w, k in zip(kinds, n, strict=True):
-            singles[w] += int(k)
-        gap = np.flatnonzero(kinds == "\n")
-        common = n >= max(5, len(tokens) * 2e-5)
-        if len(gap):
-            common[gap[0]] = False
-        size = len(kinds)
-        keys = []
-        for d in range(1, WINDOW + 1):
-            a, b = codes[:-d].astype(np.int64), codes[d:].astype(np.int64)
-            ok = common[a] & common[b]
-            keys.append(a[ok] * size + b[ok])
-        key, count = np.unique(np.concatenate(keys), return_counts=True)
-        for x, c in zip(key, count, strict=True):
-            p = (kinds[x // size], kinds[x % size])
-            pairs[p] = pairs.get(p, 0) + int(c)
-        tokens.clear()
-
     for pdf in frames:
         for text in pdf["text"]:
-            tokens += _WORD.findall(_plain(text))
-            tokens.append("\n")
+            singles.update(_WORD.findall(_plain(text)))
             split = None
             for i, s in loose_lines(text):
                 if len(s) <= 90 and sum(map(str.isalpha, s)) >= 5:
@@ -220,24 +199,58 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     bones = skeleton(re.sub(r"(?<=\S) (?=\S)", "", s) if _SPACED.match(s) else s)
                     if len(bones) >= 5:
                         lines[bones + ("\ti" if _interrupts(split, i) else "\tn")] += 1
-            if len(tokens) > 600_000:
-                flush()
-        if len(pairs) > 1_000_000 or len(lines) > 300_000:
-            flush()
-            yield from _emit(singles, pairs, lines)
+        if len(singles) + len(lines) > 500_000:  # emit and start anew: the counters stay small, the sums are the same
+            yield from _emit(singles, lines)
             singles, lines = Counter(), Counter()
-            pairs.clear()
-    if tokens:
-        flush()
-    yield from _emit(singles, pairs, lines)
+    yield from _emit(singles, lines)
 
 
-def _emit(singles: Counter, pairs: dict[tuple[str, str], int], lines: Counter) -> Iterator[pd.DataFrame]:
-    singles.pop("\n", None)
-    for kind, counts in (("w", singles), ("l", lines), ("p", pairs)):
+def _emit(singles: Counter, lines: Counter) -> Iterator[pd.DataFrame]:
+    for kind, counts in (("w", singles), ("l", lines)):
         if counts:  # an empty column would have no string type
-            a, b = zip(*counts, strict=True) if kind == "p" else (list(counts), "")
-            yield pd.DataFrame({"kind": kind, "a": a, "b": b, "n": list(counts.values())})
+            yield pd.DataFrame({"kind": kind, "a": list(counts), "n": list(counts.values())})
+
+
+def _count_pairs(shared):
+    """``a, b, n``: places of words with vectors, the second behind the first by at most ``WINDOW`` words."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = shared.value
+        size = np.int64(max(1, len(places)))
+        tokens: list[int] = []
+        keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+        def flush() -> None:
+            nonlocal keys, sums
+            code = np.array(tokens, dtype=np.int64)
+            found = [keys]
+            weights = [sums]
+            for d in range(1, WINDOW + 1):
+                a, b = code[:-d], code[d:]
+                ok = (a >= 0) & (b >= 0)
+                k, n = np.unique(a[ok] * size + b[ok], return_counts=True)
+                found.append(k)
+                weights.append(n)
+            keys, inverse = np.unique(np.concatenate(found), return_inverse=True)
+            sums = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(keys)).astype(np.int64)
+            tokens.clear()
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"a": (keys // size).astype(np.int32), "b": (keys % size).astype(np.int32), "n": sums})
+
+        for pdf in frames:
+            for text in pdf["text"]:
+                tokens += [places.get(w, -1) for w in _WORD.findall(_plain(text))]
+                tokens += [-1] * WINDOW  # no pair across two texts
+                if len(tokens) > 600_000:
+                    flush()
+            if len(keys) > 2_000_000:
+                yield out()
+                keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        flush()
+        yield out()
+
+    return run
 
 
 def train_vectors(words: list[str], counts: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +268,7 @@ def train_vectors(words: list[str], counts: np.ndarray, left: np.ndarray, right:
     weight = np.concatenate((n, n)) * keep[a] * keep[b]
     cumulated = np.cumsum(weight / weight.sum())
     noise = np.cumsum(counts**0.75 / (counts**0.75).sum())
-    for _ in range(STEPS):
+    for _ in range(max(STEPS, -(-DRAWS * size // BATCH))):
         pick = np.minimum(np.searchsorted(cumulated, rng.random(BATCH)), len(a) - 1)
         w = np.repeat(a[pick], 1 + NEGATIVES)
         c = np.minimum(np.searchsorted(noise, rng.random(BATCH * (1 + NEGATIVES))), size - 1)
@@ -451,20 +464,22 @@ def repair(text: str, title: str | None, section: str | None, first: int | None,
 def fit(texts: DataFrame, min_share: float = MIN_SHARE) -> tuple:
     """The model: word counts, cut, vector places, vectors as plain data, and the lines of the page edge as a table
     ``bones``. ``texts``: one column, text."""
-    sums = texts.where(F.length("text") > 0).mapInPandas(_count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    texts = texts.where(F.length("text") > 0)
+    sums = texts.mapInPandas(_count, "kind string, a string, n long").groupBy("kind", "a").agg(F.sum("n").alias("n"))
     from ferrywork.runtime import cut as checkpoint
 
     sums = checkpoint(sums)
-    totals = {r["kind"]: r["n"] for r in sums.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    cut = totals.get("w", 0) * min_share
-    bound = lambda kind, least: F.col("n") >= max(least, totals.get(kind, 0) * min_share)
-    words = sums.where((F.col("kind") == "w") & bound("w", 1)).select("a", "n").toPandas()
-    pairs = sums.where((F.col("kind") == "p") & bound("p", 3)).select("a", "b", "n").toPandas()
+    total = sums.where("kind = 'w'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cut = total * min_share
+    words = sums.where((F.col("kind") == "w") & (F.col("n") >= cut)).select("a", "n").toPandas()
     counts = dict(zip(words["a"], words["n"].astype(int), strict=True))
-    frequent = words[words["n"] >= max(10, totals.get("w", 0) * 2e-5)].sort_values(["n", "a"], ascending=[False, True])
+    frequent = words[words["n"] >= max(VECTOR_COUNT, total * VECTOR_SHARE)].sort_values(["n", "a"], ascending=[False, True])
     places = {w: i for i, w in enumerate(frequent["a"])}
-    pairs = pairs[pairs["a"].isin(places) & pairs["b"].isin(places)].sort_values(["a", "b"])
-    v, u = train_vectors(list(places), frequent["n"].to_numpy(dtype=float), pairs["a"].map(places).to_numpy(dtype=np.int64), pairs["b"].map(places).to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=float))
+    shared = texts.sparkSession.sparkContext.broadcast(places)
+    pairs = texts.mapInPandas(_count_pairs(shared), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # pairs below a share of all words tell the vectors nothing: at most WINDOW / min_share pairs reach the driver
+    pairs = pairs.where(F.col("n") >= max(3, cut)).toPandas().sort_values(["a", "b"])
+    v, u = train_vectors(list(places), frequent["n"].to_numpy(dtype=float), pairs["a"].to_numpy(dtype=np.int64), pairs["b"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=float))
     return counts, float(cut), places, v, u, edge_lines(sums.where("kind = 'l'"))
 
 
