@@ -13,6 +13,7 @@ page edge grow with the documents: up to ``BROADCAST_LIMIT`` they are broadcast,
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,10 +32,11 @@ MIN_SHARE = 2e-6
 VECTOR_SHARE, VECTOR_COUNT = 2e-5, 10
 #: Width of the window, vector size, fewest training steps, draws for each word of the vocabulary, pairs a step, negatives a pair.
 WINDOW, DIMENSIONS, STEPS, DRAWS, BATCH, NEGATIVES = 3, 40, 150, 1300, 8192, 5
-#: A correction is so many times as common as the word it replaces.
-RATIO = 12
-#: Least fit to the context (difference from the mean fit of frequent words, in standard deviations).
-FIT = -1.0
+#: A candidate for a word of at least five letters is so many times as common as the word, for a shorter one ``RATIO`` times.
+WIDE_RATIO = 4
+#: A correction is so many times as common as the word it replaces where its fit to the context (in standard deviations)
+#: is ``FIT``; a greater ratio stands for a lesser fit and the other way round, in natural logarithms.
+RATIO, FIT = 12, -1.0
 #: What a line of the page edge takes in a set of them, besides its letters.
 LINE_BYTES = 120
 
@@ -290,9 +292,9 @@ def train_vectors(words: list[str], counts: np.ndarray, left: np.ndarray, right:
 
 
 def originals(word: str, most: int = 2) -> set[str]:
-    """Words that ``word`` may be a misreading of, by at most ``most`` glyph edits (the second only in long words)."""
+    """Words that ``word`` may be a misreading of, by at most ``most`` glyph edits (the second from five letters on)."""
     level, out = {word}, set()
-    for step in range(most if len(word) >= 8 else 1):
+    for _ in range(most if len(word) >= 5 else 1):
         following = set()
         for w in level:
             for i in range(len(w)):
@@ -304,7 +306,7 @@ def originals(word: str, most: int = 2) -> set[str]:
                             following.add(left + true + right)
         following -= {word}
         out |= following
-        level = following if step == 0 and len(following) <= 80 else set()
+        level = following
     return out
 
 
@@ -338,7 +340,7 @@ class Corrector:
         mine = max(self.folded.get(lower, 0), self.counts.get(word, 0))
         if mine > self.common:
             return ()
-        need = max(RATIO * mine, 3 * self.cut if not mine else 0, 5)
+        need = max((WIDE_RATIO if len(word) >= 5 else RATIO) * mine, 3 * self.cut if not mine else 0, 5)
         seen = {w.lower(): self.folded.get(w.lower(), 0) for w in originals(word) | originals(lower)}
         need = max(need, 0.02 * max(seen.values(), default=0))
         shape = lambda w: w if w in self.counts else w[:1].upper() + w[1:]
@@ -368,8 +370,12 @@ class Corrector:
         options = self.candidates(word)
         if not options:
             return None
-        best = max(options, key=lambda w: self.fit(w, around)) if len(options) > 1 else options[0]
-        if self.fit(best, around) < FIT:
+        # a word below the cut may have any count up to it
+        mine = max(self.folded.get(word.lower(), 0), self.counts.get(word, 0), self.cut / 4, 0.4)
+        # short words have many neighbours: their ratio never outweighs the context
+        most = RATIO if len(word) < 5 else math.inf
+        evidence, best = max((math.log(min(self.folded[w.lower()] / mine, most)) + self.fit(w, around), w) for w in options)
+        if evidence < math.log(RATIO) + FIT:
             return None
         return best[:1].upper() + best[1:] if word[:1].isupper() else best
 

@@ -82,3 +82,21 @@ def test_vectors_bring_like_words_together():
     v, _ = P.train_vectors(words, np.array([100.0] * 6), np.array(left), np.array(right), np.array(n))
     cos = lambda i, j: float(v[i] @ v[j] / (np.linalg.norm(v[i]) * np.linalg.norm(v[j])))
     assert cos(0, 1) > cos(0, 2) and cos(2, 3) > cos(1, 3)
+
+
+def test_context_decides_between_candidates():
+    import numpy as np
+
+    counts = {"lined": 900, "fined": 900, "wall": 900, "court": 900, "the": 90_000}
+    places = {w: i for i, w in enumerate(counts)}
+    v, u = np.zeros((5, 2), np.float32), np.zeros((5, 2), np.float32)
+    v[places["lined"]] = u[places["wall"]] = (3, 0)
+    v[places["fined"]] = u[places["court"]] = (0, 3)
+    corrector = P.Corrector(counts, 0.0, places, v, u)
+    assert set(corrector.candidates("tlned")) == {"lined", "fined"}
+    assert corrector.correct("tlned", ["the", "wall"]) == "lined" and corrector.correct("tlned", ["the", "court"]) == "fined"
+
+
+def test_counts_do_not_depend_on_partitions(chunks):
+    models = [P.fit(chunks.select("text").repartition(n)) for n in (1, 7)]
+    assert models[0][0] == models[1][0] and models[0][2] == models[1][2] and (models[0][3] == models[1][3]).all()
