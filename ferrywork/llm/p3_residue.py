@@ -38,8 +38,10 @@ STEP = 0.125
 GROUP = 400_000
 #: A text of at most so many characters is residue as a whole from a lower sum on.
 BRIEF, BRIEF_FLOOR = 20, 4.5
-#: Generated texts a residue model is fitted to, and most natural texts that calibrate the thresholds.
-SEED_TEXTS, SAMPLE = 6000, 4000
+#: Generated texts a residue model is fitted to.
+SEED_TEXTS = 6000
+#: Share of the natural texts that stay below a threshold, and its distance (nats) from what they reach.
+NATURAL, DISTANCE = 0.999, 1.0
 #: A field with at least this share of residue is excluded; template delimiters count from one whole slot on.
 COVERAGE = 0.15
 #: Delimiters that other writing uses as well: brackets of an editor, markup.
@@ -226,51 +228,119 @@ def _ratios(prose: np.ndarray, alphabet: np.ndarray) -> dict[str, np.ndarray]:
     return {k: np.clip(np.rint((log_model(count_texts(p3_seeds.residue(k, SEED_TEXTS), alphabet)) - natural) / STEP), -127, 127).astype(np.int8) for k in KINDS}
 
 
-def _thresholds(tables: dict[str, np.ndarray], sample: list[str]) -> dict[str, list[float]]:
-    """For each kind and width, above what natural texts reach, and never below ``FLOORS``."""
-    none = {k: [0.0] * len(WIDTHS) for k in KINDS}
-    best = Scorer(tables, none).best(sample) if sample else {}
-    reached = lambda k, w: 1.0 + float(np.quantile(best[k, w], 0.999)) if best else 0.0
-    return {k: [max(low, reached(k, w)) for w, low in zip(WIDTHS, FLOORS, strict=True)] for k in KINDS}
+def _summed(parts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of all parts and how often they came; the parts are merged one by one."""
+    keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for part in parts:
+        k, n = np.unique(part, return_counts=True)
+        keys, inverse = np.unique(np.concatenate((keys, k)), return_inverse=True)
+        sums = np.bincount(inverse, weights=np.concatenate((sums, n)), minlength=len(keys)).astype(np.int64)
+    return keys, sums
 
 
-def _count_prose(tables: dict[str, np.ndarray], thresholds: dict[str, list[float]]):
+def _pieces(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in groups of about ``GROUP`` characters; a longer one is a group of its own."""
+    group: list[str] = []
+    held = 0
+    for t in texts:
+        if group and held + len(t) > GROUP:
+            yield group
+            group, held = [], 0
+        group.append(t)
+        held += len(t)
+    if group:
+        yield group
+
+
+def _grams_of(texts: list[str], alphabet: np.ndarray) -> np.ndarray:
+    s, _ = symbols(texts, alphabet)
+    return grams(s)[s[3:] + s[2:-1] > 0]
+
+
+def _count_natural(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``gram, n`` of natural texts, plain and dressed."""
+    alphabet = _alphabet()
+    keys, n = _summed(_grams_of([*part, *p3_seeds.dressed(part)], alphabet) for pdf in frames for part in _pieces(list(pdf["text"])))
+    yield pd.DataFrame({"gram": keys, "n": n})
+
+
+def _count_prose(shared):
+    """``gram, n`` of all fields in which the model finds no residue."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer, keys, sums = Scorer(tables, thresholds), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for pdf in frames:
-            texts = [t for c in pdf.columns for t in pdf[c] if t]
-            natural = [t for t, k in zip(texts, scorer.kinds(texts, PLAIN_SLOT), strict=True) if k is None]
-            if natural:
-                s, _ = symbols(natural, scorer.alphabet)
-                k, n = np.unique(grams(s)[s[3:] + s[2:-1] > 0], return_counts=True)
-                keys, inverse = np.unique(np.concatenate((keys, k)), return_inverse=True)
-                sums = np.bincount(inverse, weights=np.concatenate((sums, n))).astype(np.int64)
-        yield pd.DataFrame({"gram": keys, "n": sums})
+        scorer = Scorer(*shared.value)
+
+        def parts() -> Iterator[np.ndarray]:
+            for pdf in frames:
+                texts = [t for c in pdf.columns for t in pdf[c] if t]
+                natural = [t for t, k in zip(texts, scorer.kinds(texts, PLAIN_SLOT), strict=True) if k is None]
+                for part in _pieces(natural):
+                    yield _grams_of(part, scorer.alphabet)
+
+        keys, n = _summed(parts())
+        yield pd.DataFrame({"gram": keys, "n": n})
 
     return run
 
 
+def _reached(shared):
+    """``place, at, n``: how many dressed natural texts have their greatest window sum of a kind and width (numbered by
+    ``place``) at so many steps."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value, {k: [0.0] * len(WIDTHS) for k in KINDS})
+
+        def parts() -> Iterator[np.ndarray]:
+            for pdf in frames:
+                for part in _pieces(list(pdf["text"])):
+                    for (kind, width), top in scorer.best(p3_seeds.dressed(part, seed=17)).items():
+                        place = KINDS.index(kind) * len(WIDTHS) + WIDTHS.index(width)
+                        yield place * (1 << 32) + (1 << 31) + np.rint(top / STEP).astype(np.int64)
+
+        keys, n = _summed(parts())
+        yield pd.DataFrame({"place": (keys >> 32).astype(np.int32), "at": (keys & 0xFFFFFFFF) - (1 << 31), "n": n})
+
+    return run
+
+
+def _thresholds(counts: pd.DataFrame) -> dict[str, list[float]]:
+    """For each kind and width, above what the share ``NATURAL`` of natural texts reach, and never below ``FLOORS``."""
+    out = {}
+    for i, kind in enumerate(KINDS):
+        out[kind] = list(FLOORS)
+        for j in range(len(WIDTHS)):
+            rows = counts[counts["place"] == i * len(WIDTHS) + j].sort_values("at")
+            if len(rows):
+                within = rows["n"].cumsum().to_numpy() >= NATURAL * rows["n"].sum()
+                out[kind][j] = max(FLOORS[j], DISTANCE + STEP * float(rows["at"].to_numpy()[within.argmax()]))
+    return out
+
+
 def fit(
-    df: DataFrame, fields: tuple[str, ...] = ("parsed_answer", "raw_judge_response"), prose_fields: tuple[str, ...] = ("question", "gold_answer"), sample: int = SAMPLE
+    df: DataFrame, fields: tuple[str, ...] = ("parsed_answer", "raw_judge_response"), prose_fields: tuple[str, ...] = ("question", "gold_answer")
 ) -> tuple[dict[str, np.ndarray], dict[str, list[float]]]:
-    """Ratio tables and thresholds.
+    """Ratio tables and thresholds, each from all rows.
 
-    A first prose model comes from at most ``sample`` distinct natural texts (``prose_fields``, plain and in the forms
-    that machine replies take). It keeps residue out of the second, which is counted over all rows and all fields. The
-    driver receives one number per distinct 4-gram, ``SIZE ** 4`` at most.
+    A first prose model is counted over the distinct natural texts (``prose_fields``), plain and in the forms that machine
+    replies take. It keeps residue out of the second, which is counted over all rows and all fields. The thresholds come
+    from what the natural texts reach under the second model. The driver receives one number per distinct 4-gram,
+    ``SIZE ** 4`` at most, and a histogram of window sums.
     """
-    alphabet = _alphabet()
-    texts = [r[0] for c in prose_fields for r in df.select(c).where(F.length(F.trim(c)) > 0).distinct().orderBy(F.xxhash64(c), c).limit(sample // len(prose_fields)).collect()]
-    first = count_texts([*texts, *p3_seeds.dressed(texts)], alphabet) if texts else np.zeros(SIZE**4, dtype=np.int64)
-    tables = _ratios(first, alphabet)
-    low = {k: list(FIRST_FLOORS) for k in KINDS}
+    spark, alphabet = df.sparkSession, _alphabet()
+    natural = df.select(F.explode(F.array(*[F.col(c).cast("string") for c in prose_fields])).alias("text")).where(F.length(F.trim("text")) > 0).distinct()
+
+    def counted(counts: DataFrame) -> np.ndarray:
+        pdf, out = counts.groupBy("gram").agg(F.sum("n").alias("n")).toPandas(), np.zeros(SIZE**4, dtype=np.int64)
+        out[pdf["gram"].to_numpy(dtype=np.int64)] = pdf["n"].to_numpy(dtype=np.int64)
+        return out
+
+    prose = counted(natural.mapInPandas(_count_natural, "gram int, n long"))
     columns = list(dict.fromkeys([*prose_fields, *fields]))
-    counts = df.select(*columns).mapInPandas(_count_prose(tables, low), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    pdf = counts.toPandas()
-    prose = first.astype(np.int64)
-    np.add.at(prose, pdf["gram"].to_numpy(dtype=np.int64), pdf["n"].to_numpy(dtype=np.int64))
+    first = spark.sparkContext.broadcast((_ratios(prose, alphabet), {k: list(FIRST_FLOORS) for k in KINDS}))
+    prose += counted(df.select(*columns).mapInPandas(_count_prose(first), "gram int, n long"))
     tables = _ratios(prose, alphabet)
-    return tables, _thresholds(tables, p3_seeds.dressed(texts, seed=17))
+    reached = natural.mapInPandas(_reached(spark.sparkContext.broadcast(tables)), "place int, at long, n long")
+    return tables, _thresholds(reached.groupBy("place", "at").agg(F.sum("n").alias("n")).toPandas())
 
 
 def broadcast_model(spark: SparkSession, model: tuple[dict[str, np.ndarray], dict[str, list[float]]]):

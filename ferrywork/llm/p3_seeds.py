@@ -185,6 +185,9 @@ def residue(kind: str, n: int, seed: int = 7) -> list[str]:
 
 
 def dressed(texts: list[str], seed: int = 11) -> list[str]:
-    """Natural sentences in the forms that answers and judge replies take."""
-    rng = random.Random(seed)
-    return [rng.choice(DRESS).format(r=t, v=rng.choice(VERDICTS), n=rng.randint(1, 5)) for t in texts]
+    """Natural sentences in the forms that answers and judge replies take; the form depends on the sentence and the seed."""
+    out = []
+    for t in texts:
+        rng = random.Random(f"{seed}{t}")
+        out.append(rng.choice(DRESS).format(r=t, v=rng.choice(VERDICTS), n=rng.randint(1, 5)))
+    return out
