@@ -6,8 +6,10 @@ hashed words, and whether the text so far usually goes on. The share of the answ
 defect of the pair.
 
 The field is trained here, on sequences made from a bounded sample of sound pairs (gold answers, cut, given back, put to
-questions of other languages, replaced by refusals). How often words end a sentence is counted over all rows, in a table
-of fixed size.
+questions of other languages, replaced by refusals). How often words end a sentence, and which words stand in texts of
+which language, is counted over all rows. The counts of word sequences stay in a table of the cluster, keyed by 64-bit
+hashes: what an unterminated answer ends with is looked up there by a join, so nothing is folded into buckets and the
+driver holds none of it. Words below a share of all are told by their letters.
 """
 
 from __future__ import annotations
@@ -15,30 +17,36 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrywork.llm import p1_seeds as S
 from ferrywork.llm import p3_residue
+from ferrywork.runtime import cut
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 A, R, E, X, U = range(5)
-#: Most sound pairs that the field is trained on, and most answers that the language model sees.
-SAMPLE, LANGUAGE_SAMPLE = 2500, 6000
-#: Size of the table of endings and of the hashed words.
-BUCKETS, HASHED = 1 << 21, 1 << 12
+#: Most sound pairs that the field is trained on, and most clauses of a sequence that it is trained on.
+SAMPLE, TRAINING_CLAUSES = 2500, 24
+#: Least share of all words (letter trigrams) of a word the language model knows itself: at most 1 / share of them.
+WORD_SHARE = 5e-6
+#: Share of all words that each function word counts for besides.
+FUNCTION_SHARE = 2e-4
+#: Size of the table of hashed words (features of the field).
+HASHED = 1 << 12
+#: Lengths of the word sequences whose endings are counted.
 ORDERS = (1, 2, 3, 5)
-#: Longest sequence that is tagged at once; a longer answer is tagged in stretches of so many clauses.
-STRETCH = 24
 
 _CLAUSE = re.compile(r"(?<=[.!?…;:])[\"”’)»]?\s+|\n+")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 _TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*|[.!?…]|\0")
-_END = re.compile(r"[.!?…][\"”’'»)\]*]*\s*$")
+END = r"[.!?…][\"”’'»)\]*]*\s*$"
+_END = re.compile(END)
 _DIGIT = re.compile(r"\d+")
 _BARE = re.compile(r"[\W_]+")
 
@@ -52,76 +60,148 @@ def clauses(text: str) -> list[str]:
 
 
 _LABEL = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(S.LABELS, key=len, reverse=True))) + r")\s*(?:[:=|–—-]+|$)\s*")
+_APART = re.compile(r"\s*[|;\n]\s*|\s{2,}")
+#: The words of labels and not-available marks: a text with any other word is not empty.
+_EMPTY_WORDS = frozenset(w for x in (*S.LABELS, *S.BLANKS) for w in re.findall(r"[^\W_]+", x))
+_ANY_WORD = re.compile(r"[^\W_]+")
 
 
 def is_empty(text: str | None) -> bool:
     """Null, blank, nothing but punctuation, field labels or a not-available mark."""
     if text is None:
         return True
-    bare = text.replace("​", "").replace("﻿", "").replace("\xad", "").strip().lower()
-    if not bare or _BARE.sub("", bare) == "":
+    first = _ANY_WORD.search(text)
+    if not first:
         return True
-    if len(bare) > 60:
+    bare = text.replace("​", "").replace("﻿", "").replace("\xad", "").strip().lower()
+    if any(m[0] not in _EMPTY_WORDS for m in _ANY_WORD.finditer(bare)):
         return False
-    bare = _LABEL.sub(" ", bare)
-    bare = re.sub(r"^[\s\W_]+|[\s\W_]+$", "", bare)
-    return bare == "" or bare in S.BLANKS or bare in S.LABELS
+    edges = lambda x: re.sub(r"^[\s\W_]+|[\s\W_]+$", "", x)
+    bare = edges(_LABEL.sub("  ", bare))
+    return bare in S.BLANKS or all(x == "" or x in S.BLANKS or x in S.LABELS for x in map(edges, _APART.split(bare)))
 
 
-# --- endings -------------------------------------------------------------------------------------------------------
+# --- counts over all rows ------------------------------------------------------------------------------------------
 
 
 def _mix(h: np.ndarray, order: int) -> np.ndarray:
-    """Buckets of the ``order`` hashes that end at each place (places before the start count as 0)."""
+    """Keys of the ``order`` hashes that end at each place (places before the start count as 0)."""
     out = np.full(len(h), order, dtype=np.uint64)
     for k in range(order):
         past = h if k == 0 else np.concatenate((np.zeros(min(k, len(h)), dtype=np.uint64), h[: max(0, len(h) - k)]))
         out = (out ^ past) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return (out % np.uint64(BUCKETS)).astype(np.int64)
+    return out.view(np.int64)
 
 
 _PUNCT = {".", "!", "?", "…"}
 
 
-def _hash(token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) * 0x9E3779B1 + 1
+def _hash(tokens: Sequence[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in tokens], dtype=np.uint64)
+
+
+def tail_keys(text: str) -> list[int]:
+    """The keys of the last words of a text, one an order; 0 where the text is shorter."""
+    tokens = _TOKEN.findall("\0" + text.lower())[-max(ORDERS) :]
+    h = _hash(tokens)
+    return [int(_mix(h, k)[-1]) if len(h) >= k else 0 for k in ORDERS]
+
+
+class Counts:
+    """Sums of a batch: (key, words seen, sentence ends) of every word and order, and (word, language, n)."""
+
+    def __init__(self, votes: dict[str, np.ndarray]):
+        self.votes = votes
+        self.keys, self.sums = np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
+        self.words: dict[tuple[str, int], int] = {}
+
+    def add(self, texts: Sequence[str], endings: bool, trusted: bool) -> None:
+        """Count texts; in trusted ones the end of the text is an end of a sentence, too."""
+        weight_of, unique = pd.factorize(np.array(texts, dtype=object))
+        many = np.bincount(weight_of, minlength=len(unique))
+        tokens = _TOKEN.findall("\0" + "\0".join(t.replace("\0", " ").lower() for t in unique) + "\0")
+        codes, kinds = pd.factorize(np.array(tokens, dtype=object))
+        gap = np.array([k == "\0" for k in kinds])[codes]
+        stop = np.array([k in _PUNCT for k in kinds])[codes]
+        owner = np.minimum(np.cumsum(gap) - 1, len(unique) - 1)
+        weight = many[owner]
+        word = ~gap & ~stop
+        # language: function words vote, clear texts count for their words
+        n = len(LANGUAGES)
+        vote = np.stack([self.votes.get(k, np.zeros(n)) for k in kinds])[codes]
+        total = np.stack([np.bincount(owner, weights=np.where(word, vote[:, c], 0.0), minlength=len(unique)) for c in range(n)], axis=1)
+        top = np.sort(total, axis=1)
+        clear = (top[:, -1] >= 1.5) & (top[:, -1] >= 1.5 * top[:, -2])
+        seen = word & clear[owner]
+        cell, times = np.unique(codes[seen] * n + total.argmax(axis=1)[owner[seen]], return_inverse=True)
+        for x, w in zip(cell, np.bincount(times, weights=weight[seen], minlength=len(cell)), strict=True):
+            key = (kinds[x // n], int(x % n))
+            self.words[key] = self.words.get(key, 0) + int(w)
+        if not endings:
+            return
+        follow_stop, follow_gap = np.append(stop[1:], False), np.append(gap[1:], True)
+        end = follow_stop | (follow_gap & trusted)
+        keep = word & (end | ~follow_gap)
+        h = _hash(list(kinds))[codes]
+        keys = np.concatenate([_mix(h, k)[keep] for k in ORDERS])
+        rows = np.stack((np.tile(weight[keep], len(ORDERS)), np.tile(weight[keep] * end[keep], len(ORDERS))), axis=1)
+        self.keys, inverse = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
+        rows = np.concatenate((self.sums, rows))
+        self.sums = np.stack([np.bincount(inverse, weights=rows[:, c], minlength=len(self.keys)) for c in (0, 1)], axis=1).astype(np.int64)
+
+    def flush(self) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"kind": "e", "word": "", "key": self.keys, "n": self.sums[:, 0], "ended": self.sums[:, 1]})
+        if self.words:
+            names, langs = zip(*self.words, strict=True)
+            yield pd.DataFrame({"kind": "w", "word": names, "key": np.array(langs, dtype=np.int64), "n": np.array(list(self.words.values()), dtype=np.int64), "ended": np.int64(0)})
+        self.keys, self.sums, self.words = np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.int64), {}
+
+
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = Counts(function_votes())
+    for pdf in frames:
+        for column, endings, trusted in (("question", False, False), ("gold", True, True), ("answer", True, False)):
+            texts = [t for t in pdf[column] if t]
+            if texts:
+                counts.add(texts, endings, trusted)
+        if len(counts.keys) > 1_000_000 or len(counts.words) > 500_000:
+            yield from counts.flush()
+    yield from counts.flush()
+
+
+def count_rows(rows: DataFrame) -> DataFrame:
+    """``kind, word, key, n, ended`` over all rows of ``question, answer, gold``: word sequences (e, by key) and words by
+    language (w, the key is the language). Written to the checkpoint folder, since three steps read it."""
+    parts = rows.select("question", "answer", "gold").mapInPandas(_count, "kind string, word string, key long, n long, ended long")
+    return cut(parts.groupBy("kind", "word", "key").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended")))
+
 
+def ending_counts(counts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keys`` (with a column ``key``) and their ``n`` and ``ended``."""
+    return keys.join(counts.where("kind = 'e'").select("key", "n", "ended"), "key")
 
-def ending_events(texts: list[str], trusted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, whether a sentence ended) of every word and order; in trusted texts the end of the text is one too."""
-    tokens = _TOKEN.findall("\0" + "\0".join(t.replace("\0", " ").lower() for t in texts) + "\0")
-    codes, kinds = pd.factorize(np.array(tokens, dtype=object))
-    h = np.array([_hash(k) & 0xFFFFFFFFFFFFFFFF for k in kinds], dtype=np.uint64)[codes]
-    stop = np.array([k in _PUNCT for k in kinds])[codes]
-    gap = np.array([k == "\0" for k in kinds])[codes]
-    follow_stop, follow_gap = np.append(stop[1:], False), np.append(gap[1:], True)
-    end = follow_stop | (follow_gap & trusted)
-    keep = ~stop & ~gap & (end | ~follow_gap)
-    keys = [_mix(h, k)[keep] for k in ORDERS]
-    return np.concatenate(keys), np.tile(end[keep], len(ORDERS))
 
+def is_open(answer: Column) -> Column:
+    """Whether an answer has a word and ends without the end of a sentence."""
+    return F.coalesce(answer.rlike(r"[\p{L}\p{N}]") & ~answer.rlike(END), F.lit(False))
 
-def _count_endings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total, ended = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+
+def _tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        for column, trusted in (("gold", True), ("answer", False)):
-            texts = [t for t in pdf[column] if t]
-            if texts:
-                keys, ends = ending_events(texts, trusted)
-                total += np.bincount(keys, minlength=BUCKETS)
-                ended += np.bincount(keys[ends], minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"bucket": at.astype(np.int32), "total": total[at], "ended": ended[at]})
+        yield pd.DataFrame({"answer": pdf["answer"], "keys": [tail_keys(t) for t in pdf["answer"]]})
 
 
-def fit_endings(rows: DataFrame) -> np.ndarray:
-    """``BUCKETS x 2`` counts: words seen, and sentence ends among them. The driver receives ``BUCKETS`` rows at most."""
-    sums = rows.select("gold", "answer").mapInPandas(_count_endings, "bucket int, total long, ended long")
-    pdf = sums.groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("ended").alias("ended")).toPandas()
-    table = np.zeros((BUCKETS, 2), dtype=np.int32)
-    table[pdf["bucket"].to_numpy()] = np.minimum(pdf[["total", "ended"]].to_numpy(), 2**31 - 1)
-    return table
+def with_endings(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` with ``ends``: of open answers, words seen and ends of each order, one behind the other; else null."""
+    tails = rows.where(is_open(F.col("answer"))).select("answer").distinct().mapInPandas(_tails, "answer string, keys array<long>")
+    each = tails.select("answer", F.posexplode("keys").alias("at", "key"))
+    found = ending_counts(counts, each).groupBy("answer").agg(F.collect_list(F.struct("at", "n", "ended")).alias("got"))
+    zero = F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    one = lambda i: F.coalesce(F.get(F.transform(F.filter("got", lambda x: x["at"] == i), lambda x: F.array(x["n"], x["ended"])), F.lit(0)), zero)
+    found = found.select("answer", F.flatten(F.array(*[one(i) for i in range(len(ORDERS))])).alias("ends"))
+    opened = rows.where(is_open(F.col("answer"))).join(found, "answer", "left")
+    return opened.select("id", "question", "answer", "ends").unionByName(rows.where(~is_open(F.col("answer"))).select("id", "question", "answer", F.lit(None).cast("array<long>").alias("ends")))
 
 
 # --- language ------------------------------------------------------------------------------------------------------
@@ -134,8 +214,33 @@ def _shapes(word: str) -> list[str]:
     return [s[i : i + 3] for i in range(len(s) - 2)]
 
 
+def function_votes() -> dict[str, np.ndarray]:
+    """Of each function word, its share of a vote for each language."""
+    votes: dict[str, np.ndarray] = {}
+    for k, lang in enumerate(LANGUAGES):
+        for w in S.FUNCTION_WORDS[lang].split():
+            votes.setdefault(w, np.zeros(len(LANGUAGES)))[k] = 1.0
+    return {w: v / v.sum() for w, v in votes.items()}
+
+
+def fit_language(counts: DataFrame, share: float = WORD_SHARE) -> Language:
+    """The language model of the counts of all rows. Words and trigrams below the share are left to what they consist of."""
+    rows = counts.where("kind = 'w'").select("word", F.col("key").cast("int").alias("language"), "n")
+    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    shape = F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substr(padded, i, F.lit(3))))
+    tables = []
+    for part in (rows, rows.select(shape.alias("word"), "language", "n").groupBy("word", "language").agg(F.sum("n").alias("n"))):
+        total = part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        kept = part.groupBy("word").agg(F.sum("n").alias("m")).where(F.col("m") >= total * share)
+        out: dict[str, np.ndarray] = {}
+        for r in part.join(kept, "word").select("word", "language", "n").toLocalIterator():
+            out.setdefault(r["word"], np.zeros(len(LANGUAGES)))[r["language"]] = r["n"]
+        tables.append(out)
+    return Language.fit(*tables)
+
+
 class Language:
-    """Log-odds of words by language: words of the sample, else their letter trigrams. Ships as plain data."""
+    """Log-odds of words by language: words that are frequent enough, else their letter trigrams. Ships as plain data."""
 
     def __init__(self, known: dict[str, np.ndarray], shapes: dict[str, np.ndarray]):
         self.known, self.shapes = known, shapes
@@ -143,42 +248,36 @@ class Language:
         self.none = np.zeros(len(LANGUAGES), dtype=np.float32)
 
     @staticmethod
-    def fit(texts: list[str]) -> Language:
-        votes = {}
-        for k, lang in enumerate(LANGUAGES):
-            for w in S.FUNCTION_WORDS[lang].split():
-                votes.setdefault(w, np.zeros(len(LANGUAGES)))[k] = 1.0
+    def fit(word_counts: dict[str, np.ndarray], shape_counts: dict[str, np.ndarray]) -> Language:
+        """From counts by language of words and of their letter trigrams.
+
+        The function words count besides, each for a share of all words, so that every language has some. Rates within a
+        language are compared with the greatest one; what is rare tells less, and its letters the rest. All smoothing is
+        in shares of the whole, so that the size of the table does not matter.
+        """
+        n = len(LANGUAGES)
+        votes = function_votes()
+
+        def logs(counts: dict[str, np.ndarray], extra: dict[str, np.ndarray], rare: float) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+            total = max(1.0, float(sum(c.sum() for c in counts.values())))
+            names = list(dict.fromkeys([*counts, *extra]))
+            c = np.stack([counts.get(x, np.zeros(n)) + FUNCTION_SHARE * total * extra.get(x, np.zeros(n)) for x in names])
+            rate = c / (c.sum(axis=0) + 0.002 * total)
+            top = rate.max(axis=1, keepdims=True)
+            sure = c.sum(axis=1) / (c.sum(axis=1) + rare * total)
+            v = np.log((rate + 0.02 * top) / (1.02 * top)) * sure[:, None]
+            return dict(zip(names, v.astype(np.float32), strict=True)), dict(zip(names, sure, strict=True))
+
+        by_shape: dict[str, np.ndarray] = {}
         for w, v in votes.items():
-            votes[w] = v / v.sum()
-        word_counts = {w: 20.0 * v for w, v in votes.items()}
-        shape_counts: dict[str, np.ndarray] = {}
-
-        def see(word: str, k: int, n: float) -> None:
-            for s in _shapes(word):
-                shape_counts.setdefault(s, np.zeros(len(LANGUAGES)))[k] += n
-
-        for k, lang in enumerate(LANGUAGES):
-            for w in S.FUNCTION_WORDS[lang].split():
-                see(w, k, 2.0)
-        for t in texts:
-            ws = words(t)
-            total = sum((votes[w] for w in ws if w in votes), np.zeros(len(LANGUAGES)))
-            order = np.sort(total)
-            if order[-1] < 1.5 or order[-1] < 1.5 * order[-2]:
-                continue
-            k = int(total.argmax())
-            for w in ws:
-                word_counts.setdefault(w, np.zeros(len(LANGUAGES)))[k] += 1.0
-                see(w, k, 1.0)
-        size = np.maximum(sum(shape_counts.values()), 1.0)
-        shapes = {s: np.log((c + 0.2) / (size + 2000)).astype(np.float32) for s, c in shape_counts.items()}
-        base = {s: v - v.mean() for s, v in shapes.items()}
-        known = {}
-        mass = np.maximum(sum(word_counts.values()), 1.0)
-        for w, c in word_counts.items():
-            v = np.log((c + 0.3) / (mass + 500))
-            known[w] = np.clip(v - v.max(), -4.0, 0.0).astype(np.float32)
-        return Language(known, {s: np.clip(v, -2.5, 2.5) for s, v in base.items()})
+            for x in _shapes(w):
+                by_shape[x] = by_shape.get(x, np.zeros(n)) + 0.1 * v
+        shapes, _ = logs(shape_counts, by_shape, 1e-5)
+        known, sure = logs(word_counts, votes, 2e-6)
+        out = Language({}, shapes)
+        # the letters tell what a rare word does not
+        out.known = {w: v + np.float32(1 - sure[w]) * out.word(w) for w, v in known.items()}
+        return Language(out.known, shapes)
 
     def word(self, w: str) -> np.ndarray:
         v = self.known.get(w)
@@ -188,8 +287,8 @@ class Language:
                 if len(self.memo) > 200_000:
                     self.memo.clear()
                 rows = [self.shapes[s] for s in _shapes(w) if s in self.shapes]
-                v = np.clip(sum(rows) / 3.0, -3.0, 3.0).astype(np.float32) if rows and not w.isdigit() else self.none
-                v = self.memo[w] = v - v.max()
+                v = (sum(rows) / 3.0).astype(np.float32) if rows and not w.isdigit() else self.none
+                v = self.memo[w] = np.maximum(v - v.max(), np.float32(-3.0))
         return v
 
     def score(self, ws: list[str]) -> np.ndarray:
@@ -204,8 +303,8 @@ N_DENSE = 64
 class Features:
     """Dense features and hashed words of the clauses of one pair at a time."""
 
-    def __init__(self, language: Language, endings: np.ndarray):
-        self.language, self.endings = language, endings
+    def __init__(self, language: Language):
+        self.language = language
         self.ids: dict[str, int] = {}
         self.questions: dict[str, tuple] = {}
 
@@ -226,18 +325,18 @@ class Features:
             out = self.questions[q] = (ws, set(ws), set(zip(ws, ws[1:], strict=False)), self.language.score(ws))
         return out
 
-    def ending(self, text: str, own: int = 0) -> list[float]:
-        """How the last words of an unterminated text usually go on; ``own``: 1 if the text's own end was counted as an
-        end, 2 if as a middle (such counts are taken off in training)."""
-        tokens = _TOKEN.findall("\0" + text.lower())
-        h = np.array([_hash(t) & 0xFFFFFFFFFFFFFFFF for t in tokens[-max(ORDERS) :]], dtype=np.uint64)
+    @staticmethod
+    def ending(text: str, counts: Sequence[int] | None, own: int = 0) -> list[float]:
+        """How the last words of an unterminated text usually go on, from their ``counts`` (words seen and ends of each
+        order); ``own``: 1 if the text's own end was counted as an end, 2 if as a middle (taken off in training)."""
+        length = 1 + len(_TOKEN.findall(text))
         f, best = [], None
-        for k in ORDERS:
-            if len(h) < k:
+        for i, k in enumerate(ORDERS):
+            if length < k:
                 f += [0.0, 0.0, 0.0, 0.0, 0.0]
                 continue
-            total, ended = self.endings[int(_mix(h, k)[-1])]
-            total, ended = int(total) - (own > 0), int(ended) - (own == 1)
+            total, ended = (int(counts[2 * i]), int(counts[2 * i + 1])) if counts is not None else (0, 0)
+            total, ended = total - (own > 0), ended - (own == 1)
             if total <= 0:
                 f += [1.0, 0.0, 0.0, 0.0, 0.0]
                 continue
@@ -247,8 +346,8 @@ class Features:
         f += [0.0] * 4 if best is None else [float(best < 0.01), float(0.01 <= best < 0.1), float(0.1 <= best < 0.5), float(best >= 0.5)]
         return f
 
-    def pair(self, question: str | None, answer: str, own: int = 0) -> tuple[list[np.ndarray], list[list[int]], list[int]]:
-        """Per clause: dense features, hashed word ids, number of words."""
+    def pair(self, question: str | None, answer: str, counts: Sequence[int] | None = None, own: int = 0) -> tuple[list[np.ndarray], list[list[int]], list[int]]:
+        """Per clause: dense features, hashed word ids, number of words; ``counts`` as in ``ending``."""
         q, qset, qpairs, qlang = self.question(question or "")
         parts = clauses(answer)
         tokenised = [words(c) for c in parts]
@@ -280,7 +379,7 @@ class Features:
             if last and not terminated:
                 tail = answer.rstrip()
                 f += [1.0, float(tail[-1:] in ",;:(–—-/&"), float(tail.count("(") > tail.count(")") or tail.count("“") > tail.count("”")), float(len(parts) == 1 and n <= 3)]
-                f += self.ending(tail, own)
+                f += self.ending(tail, counts, own)
             dense.append(np.array(f + [0.0] * (N_DENSE - len(f)), dtype=np.float32))
             ids = [self.word_id(w) for w in ws]
             hashed.append([j % HASHED for j in ids] + [(a * 31 + b) % HASHED for a, b in zip(ids, ids[1:], strict=False)])
@@ -431,7 +530,7 @@ def training_pairs(pairs: list[tuple[str, str]], language: Language, seed: int =
 
     def add(q: str, a: str, tags: list[int], own: int = 0) -> None:
         n = len(clauses(a))
-        if n and n == len(tags) and n <= STRETCH:
+        if n and n == len(tags) and n <= TRAINING_CLAUSES:
             out.append((q, a, tags, own))
 
     for i, (q, _) in enumerate(pairs):
@@ -441,6 +540,9 @@ def training_pairs(pairs: list[tuple[str, str]], language: Language, seed: int =
         if rng.random() < 0.4:
             more = golds[rng.choice(by_tongue[tongue[i]])]
             g = f"{g} {more}" if more else g
+        # only the form counts: the answer to another question in the same tongue is sound, though it shares few words
+        other = golds[rng.choice(by_tongue[tongue[i]])]
+        add(q, other, [A] * len(clauses(other)))
         x = rng.random()
         if x < 0.15:
             g = rng.choice(S.LEADS) + g
@@ -519,10 +621,10 @@ class Tagger:
     def __init__(self, field: Field, features: Features):
         self.field, self.features = field, features
 
-    def defects(self, questions: list[str | None], answers: list[str]) -> list[str | None]:
+    def defects(self, questions: list[str | None], answers: list[str], counts: Sequence[Sequence[int] | None]) -> list[str | None]:
         dense, hashed, sizes, spans = [], [], [], []
-        for q, a in zip(questions, answers, strict=True):
-            d, h, s = self.features.pair(q, a)
+        for q, a, c in zip(questions, answers, counts, strict=True):
+            d, h, s = self.features.pair(q, a, c)
             spans.append((len(sizes), len(sizes) + len(s)))
             dense += d
             hashed += h
@@ -534,8 +636,8 @@ class Tagger:
         tags = np.zeros(len(sizes), dtype=np.int8)
         by_length: dict[int, list[int]] = {}
         for low, high in spans:
-            for at in range(low, high, STRETCH):
-                by_length.setdefault(min(STRETCH, high - at), []).append(at)
+            if high > low:
+                by_length.setdefault(high - low, []).append(low)
         for length, starts in by_length.items():
             at = np.array(starts)[:, None] + np.arange(length)
             tags[at] = self.field.viterbi(e[at])
@@ -546,23 +648,25 @@ class Tagger:
 
 def _flag(shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, known, shapes, endings, residue = shared.value
+        state, known, shapes, residue = shared.value
         scorer = p3_residue.Scorer(*residue)
-        tagger = Tagger(Field(*state), Features(Language(known, shapes), endings))
+        tagger = Tagger(Field(*state), Features(Language(known, shapes)))
         for pdf in frames:
             ids, kinds = [], []
             todo: dict[tuple[str, str], list[int]] = {}
-            for i, q, a in zip(pdf["id"], pdf["question"], pdf["answer"], strict=True):
+            ends: dict[tuple[str, str], Sequence[int] | None] = {}
+            for i, q, a, c in zip(pdf["id"], pdf["question"], pdf["answer"], pdf["ends"], strict=True):
                 if is_empty(a):
                     ids.append(i)
                     kinds.append("empty")
                 else:
                     todo.setdefault((q or "", a), []).append(i)
+                    ends[q or "", a] = c
             pairs = list(todo)
             sound = [p for p, k in zip(pairs, scorer.kinds([a for _, a in pairs]), strict=True) if k is None]
             for at in range(0, len(sound), 2000):
                 part = sound[at : at + 2000]
-                for p, kind in zip(part, tagger.defects([q for q, _ in part], [a for _, a in part]), strict=True):
+                for p, kind in zip(part, tagger.defects([q for q, _ in part], [a for _, a in part], [ends[p] for p in part]), strict=True):
                     if kind:
                         ids += todo[p]
                         kinds += [kind] * len(todo[p])
@@ -571,23 +675,30 @@ def _flag(shared):
     return run
 
 
-def fit(df: DataFrame, sample: int = SAMPLE) -> tuple:
-    """The model as plain data: field, language, endings. ``df``: question, answer, gold."""
+def training_counts(counts: DataFrame, answers: list[str]) -> dict[str, list[int]]:
+    """The counts of what each open answer of the training pairs ends with. Bounded by the number of pairs."""
+    keys = {a: tail_keys(a.rstrip()) for a in answers if not _END.search(a)}
+    wanted = counts.sparkSession.createDataFrame([(k,) for k in {k for ks in keys.values() for k in ks}], "key long")
+    found = {r["key"]: (r["n"], r["ended"]) for r in ending_counts(counts, F.broadcast(wanted)).collect()}
+    return {a: [x for k in ks for x in found.get(k, (0, 0))] for a, ks in keys.items()}
+
+
+def fit(df: DataFrame, counts: DataFrame, sample: int = SAMPLE) -> tuple:
+    """The model as plain data: field, language. ``df``: question, answer, gold; ``counts``: those of all its rows."""
     good = df.where((F.length(F.trim("question")) > 0) & (F.length(F.trim("gold")) > 0))
     pairs = [(r[0], r[1]) for r in good.select("question", "gold").distinct().orderBy(F.xxhash64("question", "gold"), "question", "gold").limit(sample).collect()]
-    answers = [r[0] for r in df.select("answer").where(F.length("answer") > 20).distinct().orderBy(F.xxhash64("answer"), "answer").limit(LANGUAGE_SAMPLE).collect()]
-    language = Language.fit([*(q for q, _ in pairs), *(g for _, g in pairs), *answers])
-    endings = fit_endings(df)
-    features = Features(language, endings)
+    language = fit_language(counts)
+    features, made = Features(language), training_pairs(pairs, language)
+    ends = training_counts(counts, [a for _, a, _, _ in made])
     sequences = []
-    for q, a, tags, own in training_pairs(pairs, language):
-        d, h, _ = features.pair(q, a, own)
+    for q, a, tags, own in made:
+        d, h, _ = features.pair(q, a, ends.get(a), own)
         sequences.append((d, h, tags))
     if not sequences:  # no sound pair to learn from: every clause is an answer
         zero = Field(np.zeros((N_DENSE, 5), np.float32), np.zeros((HASHED, 5), np.float32), np.zeros((5, 5), np.float32), np.zeros(5, np.float32), np.zeros(5, np.float32))
         zero.dense[0, A] = 1.0
-        return zero.state(), language.known, language.shapes, endings
-    return Field.fit(sequences).state(), language.known, language.shapes, endings
+        return zero.state(), language.known, language.shapes
+    return Field.fit(sequences).state(), language.known, language.shapes
 
 
 def flag_defects(
@@ -603,8 +714,9 @@ def flag_defects(
     """
     residue = residue or p3_residue.fit(df.select(F.col(question_col).alias("question"), F.col(gold_col).alias("gold_answer"), F.col(answer_col).alias("answer")), ("answer",))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(question_col).alias("question"), F.col(answer_col).alias("answer"), F.col(gold_col).alias("gold"))
-    shared = df.sparkSession.sparkContext.broadcast((*fit(rows, sample), residue))
-    return rows.select("id", "question", "answer").mapInPandas(_flag(shared), "id long, defect_type string")
+    counts = count_rows(rows)
+    shared = df.sparkSession.sparkContext.broadcast((*fit(rows, counts, sample), residue))
+    return with_endings(rows, counts).mapInPandas(_flag(shared), "id long, defect_type string")
 
 
 def found(df: DataFrame) -> DataFrame:

@@ -83,10 +83,15 @@ def test_defects(results):
 
 def test_held_out_sequences_are_tagged(results):
     pairs = [(r.question, r.gold_answer) for r in results.where("gold_answer is not null").select("question", "gold_answer").distinct().orderBy("question", "gold_answer").collect()]
-    language = p1_pairs.Language.fit([x for p in pairs for x in p])
-    endings = p1_pairs.fit_endings(results.selectExpr("gold_answer as gold", "parsed_answer as answer"))
-    features = p1_pairs.Features(language, endings)
-    make = lambda ps, seed: [(*features.pair(q, a, own)[:2], tags) for q, a, tags, own in p1_pairs.training_pairs(ps, language, seed)]
+    counts = p1_pairs.count_rows(results.selectExpr("question", "gold_answer as gold", "parsed_answer as answer"))
+    language = p1_pairs.fit_language(counts)
+    features = p1_pairs.Features(language)
+
+    def make(ps, seed):
+        made = p1_pairs.training_pairs(ps, language, seed)
+        ends = p1_pairs.training_counts(counts, [a for _, a, _, _ in made])
+        return [(*features.pair(q, a, ends.get(a), own)[:2], tags) for q, a, tags, own in made]
+
     field = p1_pairs.Field.fit(make(pairs[::2], 5))
     right = total = 0
     for dense, hashed, tags in make(pairs[1::2], 6):
