@@ -36,8 +36,9 @@ BACKGROUND, MARKUP_BACKGROUND, MARKUP = -2.0, -7.0, "[]{}<>/|_$%#="
 STEP = 0.125
 #: Characters that are scored at once.
 GROUP = 400_000
-#: A text of at most so many characters is residue as a whole from a lower sum on.
-BRIEF, BRIEF_FLOOR = 20, 4.5
+#: A text of at most so many characters is residue as a whole from a lower sum on, which grows with the characters beyond
+#: the first number by the last one.
+BRIEF, LONGEST_BRIEF, BRIEF_FLOOR, BRIEF_SLOPE = 20, 40, 4.5, 0.225
 #: Generated texts a residue model is fitted to.
 SEED_TEXTS = 6000
 #: Share of the natural texts that stay below a threshold, and its distance (nats) from what they reach.
@@ -189,7 +190,7 @@ class Scorer:
                 np.add.at(marks, np.maximum(hit - width + 1, starts[owner]), 1)
                 np.add.at(marks, hit + 1, -1)
             if width == WIDTHS[1]:
-                brief = (lengths <= BRIEF) & (np.maximum.reduceat(w, starts) >= BRIEF_FLOOR)
+                brief = (lengths <= LONGEST_BRIEF) & (np.maximum.reduceat(w, starts) >= BRIEF_FLOOR + BRIEF_SLOPE * np.maximum(lengths - BRIEF, 0))
             if width == WIDTHS[-1]:
                 covered = np.concatenate(([0], np.cumsum(np.cumsum(marks)[:-1] > 0)))
                 end = np.minimum(starts + lengths, len(covered) - 1)
@@ -265,14 +266,14 @@ def _count_natural(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count_prose(shared):
-    """``gram, n`` of all fields in which the model finds no residue."""
+    """``gram, n`` of all texts in which the model finds no residue."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(*shared.value)
 
         def parts() -> Iterator[np.ndarray]:
             for pdf in frames:
-                texts = [t for c in pdf.columns for t in pdf[c] if t]
+                texts = list(pdf["text"])
                 natural = [t for t, k in zip(texts, scorer.kinds(texts, PLAIN_SLOT), strict=True) if k is None]
                 for part in _pieces(natural):
                     yield _grams_of(part, scorer.alphabet)
@@ -322,12 +323,17 @@ def fit(
     """Ratio tables and thresholds, each from all rows.
 
     A first prose model is counted over the distinct natural texts (``prose_fields``), plain and in the forms that machine
-    replies take. It keeps residue out of the second, which is counted over all rows and all fields. The thresholds come
+    replies take. It keeps residue out of the second, which is counted over the distinct texts of all rows and all fields (a
+    message that comes a thousand times is no more natural than one that comes once). The thresholds come
     from what the natural texts reach under the second model. The driver receives one number per distinct 4-gram,
     ``SIZE ** 4`` at most, and a histogram of window sums.
     """
     spark, alphabet = df.sparkSession, _alphabet()
-    natural = df.select(F.explode(F.array(*[F.col(c).cast("string") for c in prose_fields])).alias("text")).where(F.length(F.trim("text")) > 0).distinct()
+
+    def distinct_texts(columns: list[str]) -> DataFrame:
+        return df.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("text")).where(F.length(F.trim("text")) > 0).distinct()
+
+    natural = distinct_texts(list(prose_fields))
 
     def counted(counts: DataFrame) -> np.ndarray:
         pdf, out = counts.groupBy("gram").agg(F.sum("n").alias("n")).toPandas(), np.zeros(SIZE**4, dtype=np.int64)
@@ -335,9 +341,8 @@ def fit(
         return out
 
     prose = counted(natural.mapInPandas(_count_natural, "gram int, n long"))
-    columns = list(dict.fromkeys([*prose_fields, *fields]))
     first = spark.sparkContext.broadcast((_ratios(prose, alphabet), {k: list(FIRST_FLOORS) for k in KINDS}))
-    prose += counted(df.select(*columns).mapInPandas(_count_prose(first), "gram int, n long"))
+    prose += counted(distinct_texts(list(dict.fromkeys([*prose_fields, *fields]))).mapInPandas(_count_prose(first), "gram int, n long"))
     tables = _ratios(prose, alphabet)
     reached = natural.mapInPandas(_reached(spark.sparkContext.broadcast(tables)), "place int, at long, n long")
     return tables, _thresholds(reached.groupBy("place", "at").agg(F.sum("n").alias("n")).toPandas())
