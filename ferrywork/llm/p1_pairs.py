@@ -301,19 +301,25 @@ N_DENSE = 64
 
 
 class Features:
-    """Dense features and hashed words of the clauses of one pair at a time."""
+    """Dense features and hashed words of the clauses of pairs, a batch at a time."""
 
     def __init__(self, language: Language):
         self.language = language
-        self.ids: dict[str, int] = {}
+        self.rows: dict[str, int] = {}
+        self.codes = np.zeros(1 << 10, dtype=np.int64)
+        self.odds = np.zeros((1 << 10, len(LANGUAGES)), dtype=np.float32)
         self.questions: dict[str, tuple] = {}
 
-    def word_id(self, w: str) -> int:
-        i = self.ids.get(w)
+    def row(self, w: str) -> int:
+        """The place of a word in the tables of hashed words and of languages."""
+        i = self.rows.get(w)
         if i is None:
-            if len(self.ids) > 200_000:
-                self.ids.clear()
-            i = self.ids[w] = zlib.crc32(_DIGIT.sub("0", w).encode("utf-8", "surrogatepass"))
+            i = self.rows[w] = len(self.rows)
+            if i == len(self.codes):
+                self.codes = np.concatenate((self.codes, np.zeros_like(self.codes)))
+                self.odds = np.concatenate((self.odds, np.zeros_like(self.odds)))
+            self.codes[i] = zlib.crc32(_DIGIT.sub("0", w).encode("utf-8", "surrogatepass"))
+            self.odds[i] = self.language.word(w)
         return i
 
     def question(self, q: str) -> tuple:
@@ -322,7 +328,10 @@ class Features:
             if len(self.questions) > 50_000:
                 self.questions.clear()
             ws = words(q)
-            out = self.questions[q] = (ws, set(ws), set(zip(ws, ws[1:], strict=False)), self.language.score(ws))
+            odds = self.language.score(ws)
+            top = np.sort(odds)
+            home = int(odds.argmax()) if ws and float(top[-1] - top[-2]) > 1.0 else -1
+            out = self.questions[q] = (set(ws), set(zip(ws, ws[1:], strict=False)), home)
         return out
 
     @staticmethod
@@ -346,45 +355,68 @@ class Features:
         f += [0.0] * 4 if best is None else [float(best < 0.01), float(0.01 <= best < 0.1), float(0.1 <= best < 0.5), float(best >= 0.5)]
         return f
 
-    def pair(self, question: str | None, answer: str, counts: Sequence[int] | None = None, own: int = 0) -> tuple[list[np.ndarray], list[list[int]], list[int]]:
-        """Per clause: dense features, hashed word ids, number of words; ``counts`` as in ``ending``."""
-        q, qset, qpairs, qlang = self.question(question or "")
-        parts = clauses(answer)
-        tokenised = [words(c) for c in parts]
-        everything = {w for ws in tokenised for w in ws}
-        n_all = max(1, len(everything))
-        in_q = len(everything & qset)
-        recall_all, precision_all = in_q / max(1, len(qset)), in_q / n_all
-        home = int(qlang.argmax()) if len(q) else 0
-        sure = bool(len(q)) and float(np.sort(qlang)[-1] - np.sort(qlang)[-2]) > 1.0
-        terminated = bool(_END.search(answer))
-        dense, hashed, sizes = [], [], []
-        for i, ws in enumerate(tokenised):
-            first, last, n, c = i == 0, i == len(parts) - 1, len(ws), parts[i]
-            own_set = set(ws)
-            shared = len(own_set & qset)
-            precision, recall = shared / len(own_set), shared / max(1, len(qset))
-            pairs = list(zip(ws, ws[1:], strict=False))
-            chained = sum(p in qpairs for p in pairs) / max(1, len(pairs))
-            lang = self.language.score([w for w in ws if w not in qset])
-            margin = float(lang.max() - lang[home]) if sure else 0.0
+    def batch(self, questions: Sequence[str | None], answers: Sequence[str], counts: Sequence[Sequence[int] | None], owns: Sequence[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """(dense features by clause, rows of all words, words by clause, clauses by pair); ``counts`` and ``owns`` as in
+        ``ending``."""
+        if len(self.rows) > 500_000:
+            self.rows.clear()
+        flat: list[int] = []
+        fresh: list[bool] = []
+        sizes: list[int] = []
+        spans: list[int] = []
+        figures: list[tuple] = []
+        open_ends: list[tuple[int, list[float]]] = []
+        for k, (q, a) in enumerate(zip(questions, answers, strict=True)):
+            qset, qpairs, home = self.question(q or "")
+            parts = clauses(a)
+            tokenised = [words(c) for c in parts]
+            everything = {w for ws in tokenised for w in ws}
+            in_q = len(everything & qset)
+            nq = max(1, len(qset))
+            recall_all, precision_all = in_q / nq, in_q / max(1, len(everything))
+            last = len(parts) - 1
+            for i, ws in enumerate(tokenised):
+                own_set = set(ws)
+                shared = len(own_set & qset)
+                pairs = list(zip(ws, ws[1:], strict=False))
+                chained = sum(p in qpairs for p in pairs) / max(1, len(pairs)) if shared else 0.0
+                figures.append((i == 0, i == last, len(ws), shared / len(own_set), shared / nq, recall_all, precision_all, parts[i].rstrip().endswith("?"), chained, home))
+                flat += [self.row(w) for w in ws]
+                fresh += [w not in qset for w in ws] if shared else [True] * len(ws)
+                sizes.append(len(ws))
+            spans.append(len(parts))
+            if parts and not _END.search(a):
+                tail = a.rstrip()
+                f = [1.0, float(tail[-1:] in ",;:(–—-/&"), float(tail.count("(") > tail.count(")") or tail.count("“") > tail.count("”")), float(len(parts) == 1 and len(tokenised[-1]) <= 3)]
+                open_ends.append((len(sizes) - 1, f + self.ending(tail, counts[k], owns[k] if owns is not None else 0)))
+        rows, n = np.array(flat, dtype=np.int64), np.array(sizes, dtype=np.int64)
+        dense = np.zeros((len(n), N_DENSE), dtype=np.float32)
+        if len(n):
+            first, final, _, precision, recall, recall_all, precision_all, asks, chained, home = (np.array(x) for x in zip(*figures, strict=True))
+            at = np.concatenate(([0], np.cumsum(n)))
+            odds = np.zeros((len(rows) + 1, len(LANGUAGES)))
+            np.cumsum(self.odds[rows] * np.array(fresh, dtype=np.float32)[:, None], axis=0, out=odds[1:])
+            odds = odds[at[1:]] - odds[at[:-1]]
+            margin = np.where(home >= 0, odds.max(axis=1) - np.take_along_axis(odds, np.maximum(home, 0)[:, None], axis=1)[:, 0], 0.0)
             each = margin / n
-            f = [
-                1.0, float(first), float(last), float(first and last), float(n <= 2), float(n <= 5), float(n > 15),
-                float(precision >= 0.5), float(precision >= 0.8), float(precision == 1.0), float(recall >= 0.3), float(recall >= 0.6), float(recall >= 0.85),
-                float(recall_all >= 0.6), float(recall_all >= 0.85), float(precision_all >= 0.7 and recall_all >= 0.6), float(c.rstrip().endswith("?")),
-                float(precision_all >= 0.9 and recall_all >= 0.8), float(chained >= 0.5), float(chained >= 0.8), float(chained >= 0.5 and recall >= 0.6),
-                float(each > 0.3), float(each > 1.0), float(margin > 4), float(margin > 10), float(each > 0.5 and n >= 4), float(margin > 4 and each > 0.5),
-            ]
-            if last and not terminated:
-                tail = answer.rstrip()
-                f += [1.0, float(tail[-1:] in ",;:(–—-/&"), float(tail.count("(") > tail.count(")") or tail.count("“") > tail.count("”")), float(len(parts) == 1 and n <= 3)]
-                f += self.ending(tail, counts, own)
-            dense.append(np.array(f + [0.0] * (N_DENSE - len(f)), dtype=np.float32))
-            ids = [self.word_id(w) for w in ws]
-            hashed.append([j % HASHED for j in ids] + [(a * 31 + b) % HASHED for a, b in zip(ids, ids[1:], strict=False)])
-            sizes.append(n)
-        return dense, hashed, sizes
+            columns = (
+                np.ones(len(n)), first, final, first & final, n <= 2, n <= 5, n > 15,
+                precision >= 0.5, precision >= 0.8, precision == 1.0, recall >= 0.3, recall >= 0.6, recall >= 0.85,
+                recall_all >= 0.6, recall_all >= 0.85, (precision_all >= 0.7) & (recall_all >= 0.6), asks,
+                (precision_all >= 0.9) & (recall_all >= 0.8), chained >= 0.5, chained >= 0.8, (chained >= 0.5) & (recall >= 0.6),
+                each > 0.3, each > 1.0, margin > 4, margin > 10, (each > 0.5) & (n >= 4), (margin > 4) & (each > 0.5),
+            )
+            for j, column in enumerate(columns):
+                dense[:, j] = column
+            for i, f in open_ends:
+                dense[i, len(columns) : len(columns) + len(f)] = f
+        return dense, rows, n, spans
+
+    def hashed(self, rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashed words and word pairs, the clause each is of)."""
+        owner, code = np.repeat(np.arange(len(n)), n), self.codes[rows]
+        together = owner[1:] == owner[:-1]
+        return np.concatenate((code % HASHED, ((code[:-1] * 31 + code[1:]) % HASHED)[together])), np.concatenate((owner, owner[1:][together]))
 
 
 # --- the field -----------------------------------------------------------------------------------------------------
@@ -396,15 +428,13 @@ class Field:
     def __init__(self, dense: np.ndarray, hashed: np.ndarray, move: np.ndarray, start: np.ndarray, stop: np.ndarray):
         self.dense, self.hashed, self.move, self.start, self.stop = dense, hashed, move, start, stop
 
-    def emissions(self, dense: list[np.ndarray], hashed: list[list[int]]) -> np.ndarray:
+    def emissions(self, dense: np.ndarray, hashed: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Scores of all clauses at once; hashed words are averaged by the square root of their number."""
-        e = np.stack(dense) @ self.dense
-        n = np.fromiter((len(h) for h in hashed), dtype=np.int64, count=len(hashed))
-        flat = np.fromiter((i for h in hashed for i in h), dtype=np.int64, count=int(n.sum()))
-        rows = self.hashed[flat]
-        at = np.concatenate(([0], np.cumsum(n)))
-        total = np.concatenate((np.zeros((1, rows.shape[1]), dtype=np.float64), np.cumsum(rows, axis=0, dtype=np.float64)))
-        return e + (total[at[1:]] - total[at[:-1]]) / np.sqrt(np.maximum(n, 1))[:, None]
+        e, picked = (dense @ self.dense).astype(np.float64), self.hashed[hashed]
+        scale = np.sqrt(np.maximum(np.bincount(owner, minlength=len(e)), 1))
+        for c in range(e.shape[1]):
+            e[:, c] += np.bincount(owner, weights=picked[:, c], minlength=len(e)) / scale
+        return e
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """Best tags of sequences of one length: ``e`` is sequences x clauses x tags."""
@@ -421,24 +451,14 @@ class Field:
         return tags
 
     @staticmethod
-    def fit(sequences: list[tuple[list[np.ndarray], list[list[int]], list[int]]], rounds: int = 100, rate: float = 0.12, l2: float = 2e-4) -> Field:
-        """``sequences``: dense features, hashed words and tags of the clauses of each."""
-        k = len(TAGS)
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i][2]))
-        sequences = [sequences[i] for i in order]
-        dense = np.stack([f for s in sequences for f in s[0]])
-        flat_hashed = [h for s in sequences for h in s[1]]
-        n = np.array([max(1, len(h)) for h in flat_hashed])
-        owner = np.repeat(np.arange(len(flat_hashed)), [len(h) for h in flat_hashed])
-        ids = np.array([i for h in flat_hashed for i in h], dtype=np.int64)
-        scale = (1.0 / np.sqrt(n))[owner][:, None]
-        gold = np.array([t for s in sequences for t in s[2]])
-        lengths = np.array([len(s[2]) for s in sequences])
+    def fit(dense: np.ndarray, ids: np.ndarray, owner: np.ndarray, gold: np.ndarray, lengths: np.ndarray, rounds: int = 100, rate: float = 0.12, l2: float = 2e-4) -> Field:
+        """From dense features, hashed words with their clauses and tags of clauses, and the numbers of clauses."""
+        k, total = len(TAGS), len(lengths)
+        scale = (1.0 / np.sqrt(np.maximum(np.bincount(owner, minlength=len(dense)), 1)))[owner][:, None]
         begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         groups = [(m, np.flatnonzero(lengths == m)) for m in sorted(set(lengths))]
         params = [np.zeros((N_DENSE, k)), np.zeros((HASHED, k)), np.zeros((k, k)), np.zeros(k), np.zeros(k)]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        total = len(sequences)
         for step in range(1, rounds + 1):
             w, v, move, start, stop = params
             e = dense @ w
@@ -602,6 +622,8 @@ def training_pairs(pairs: list[tuple[str, str]], language: Language, seed: int =
 
 def defect(tags: np.ndarray, sizes: list[int]) -> str | None:
     """The defect that the shares of the answer's words tell, or None."""
+    if not tags.any():
+        return None
     n = max(1, sum(sizes))
     share = [sum(s for t, s in zip(tags, sizes, strict=True) if t == k) / n for k in range(len(TAGS))]
     if share[R] >= 0.3:
@@ -621,29 +643,19 @@ class Tagger:
     def __init__(self, field: Field, features: Features):
         self.field, self.features = field, features
 
-    def defects(self, questions: list[str | None], answers: list[str], counts: Sequence[Sequence[int] | None]) -> list[str | None]:
-        dense, hashed, sizes, spans = [], [], [], []
-        for q, a, c in zip(questions, answers, counts, strict=True):
-            d, h, s = self.features.pair(q, a, c)
-            spans.append((len(sizes), len(sizes) + len(s)))
-            dense += d
-            hashed += h
-            sizes += s
-        out: list[str | None] = [None] * len(answers)
-        if not sizes:
-            return out
-        e = self.field.emissions(dense, hashed)
-        tags = np.zeros(len(sizes), dtype=np.int8)
-        by_length: dict[int, list[int]] = {}
-        for low, high in spans:
-            if high > low:
-                by_length.setdefault(high - low, []).append(low)
-        for length, starts in by_length.items():
-            at = np.array(starts)[:, None] + np.arange(length)
+    def defects(self, questions: Sequence[str | None], answers: Sequence[str], counts: Sequence[Sequence[int] | None]) -> list[str | None]:
+        dense, rows, n, spans = self.features.batch(questions, answers, counts)
+        if not len(n):
+            return [None] * len(answers)
+        e = self.field.emissions(dense, *self.features.hashed(rows, n))
+        tags = np.zeros(len(n), dtype=np.int8)
+        begin = np.concatenate(([0], np.cumsum(spans)))
+        length_of = np.array(spans)
+        for length in np.unique(length_of[length_of > 0]):
+            at = begin[:-1][length_of == length][:, None] + np.arange(length)
             tags[at] = self.field.viterbi(e[at])
-        for i, (low, high) in enumerate(spans):
-            out[i] = defect(tags[low:high], sizes[low:high])
-        return out
+        sizes = n.tolist()
+        return [defect(tags[low:high], sizes[low:high]) if high > low else None for low, high in zip(begin, begin[1:], strict=False)]
 
 
 def _flag(shared):
@@ -683,6 +695,12 @@ def training_counts(counts: DataFrame, answers: list[str]) -> dict[str, list[int
     return {a: [x for k in ks for x in found.get(k, (0, 0))] for a, ks in keys.items()}
 
 
+def training_set(features: Features, made: list[tuple[str, str, list[int], int]], ends: dict[str, list[int]]) -> tuple[np.ndarray, ...]:
+    """What ``Field.fit`` takes, from made pairs and the counts of their endings."""
+    dense, rows, n, spans = features.batch([q for q, *_ in made], [a for _, a, *_ in made], [ends.get(a) for _, a, *_ in made], [own for *_, own in made])
+    return dense, *features.hashed(rows, n), np.array([t for _, _, tags, _ in made for t in tags]), np.array(spans)
+
+
 def fit(df: DataFrame, counts: DataFrame, sample: int = SAMPLE) -> tuple:
     """The model as plain data: field, language. ``df``: question, answer, gold; ``counts``: those of all its rows."""
     good = df.where((F.length(F.trim("question")) > 0) & (F.length(F.trim("gold")) > 0))
@@ -690,15 +708,11 @@ def fit(df: DataFrame, counts: DataFrame, sample: int = SAMPLE) -> tuple:
     language = fit_language(counts)
     features, made = Features(language), training_pairs(pairs, language)
     ends = training_counts(counts, [a for _, a, _, _ in made])
-    sequences = []
-    for q, a, tags, own in made:
-        d, h, _ = features.pair(q, a, ends.get(a), own)
-        sequences.append((d, h, tags))
-    if not sequences:  # no sound pair to learn from: every clause is an answer
+    if not made:  # no sound pair to learn from: every clause is an answer
         zero = Field(np.zeros((N_DENSE, 5), np.float32), np.zeros((HASHED, 5), np.float32), np.zeros((5, 5), np.float32), np.zeros(5, np.float32), np.zeros(5, np.float32))
         zero.dense[0, A] = 1.0
         return zero.state(), language.known, language.shapes
-    return Field.fit(sequences).state(), language.known, language.shapes
+    return Field.fit(*training_set(features, made, ends)).state(), language.known, language.shapes
 
 
 def flag_defects(
