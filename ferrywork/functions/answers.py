@@ -156,23 +156,23 @@ def clamp_score(c: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(F.bround(c.try_cast("double"), 0).cast("int"), F.lit(1))))
 
 
+_BRACE_OR_STRING = re.compile(r'[{}]|"(?:[^"\\]|\\.)*(?:"|\Z)', re.DOTALL)
+
+
 @F.pandas_udf(StringType())
 def first_object(texts: pd.Series) -> pd.Series:
-    """The first balanced JSON object of a text, or null; brackets inside strings do not count."""
-    sign = re.compile(r'[{}"]|\\\\.', re.DOTALL)
+    """The first balanced JSON object of a text, or null; brackets inside strings do not count, nor do escaped quotes end
+    a string."""
 
     def one(t: str | None) -> str | None:
         start = t.find("{") if t else -1
         if start < 0:
             return None
-        depth, inside = 0, False
-        for m in sign.finditer(t, start):
-            s = m[0]
-            if s == '"':
-                inside = not inside
-            elif not inside and s == "{":
+        depth = 0
+        for m in _BRACE_OR_STRING.finditer(t, start):
+            if m[0] == "{":
                 depth += 1
-            elif not inside and s == "}":
+            elif m[0] == "}":
                 depth -= 1
                 if depth == 0:
                     return t[start : m.end()]
