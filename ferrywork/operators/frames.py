@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrywork import schema
@@ -24,20 +25,27 @@ def inv_norm(c: Column, low: float, high: float) -> Column:
     return 1.0 - norm(c, low, high)
 
 
+# Least area fraction at which a class counts as present. Fixed values.
+PRESENT = {"gallbladder": 0.005, "liver": 0.005, "cystic_duct": 0.002, "blood": 0.003, "hepatic_vein": 0.002}
+
+
 def class_features(classes: Column) -> dict[str, Column]:
-    """Areas, counts and flags of a map of class to area fraction."""
-    area = lambda names: F.aggregate(F.map_values(F.map_filter(classes, lambda k, _: k.isin(*names))), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    """Areas (to five places), counts and flags of a map of class to area fraction."""
+    area = lambda names: F.round(F.aggregate(F.map_values(F.map_filter(classes, lambda k, _: k.isin(*names))), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))), 5)
     present = lambda names, least: F.size(F.map_filter(classes, lambda k, v: k.isin(*names) & (v > least)))
-    has = lambda name, least: F.coalesce(F.try_element_at(classes, F.lit(name)) > least, F.lit(False))
-    anatomy = present(schema.ANATOMY_CLASSES, 0.003)
-    blood, gall, liver, duct = has("blood", 0.003), has("gallbladder", 0.003), has("liver", 0.003), has("cystic_duct", 0.0)
+    has = {name: F.coalesce(F.try_element_at(classes, F.lit(name)) > least, F.lit(False)) for name, least in PRESENT.items()}
     return {
-        "anatomy_area": area(schema.ANATOMY_CLASSES), "tissue_area": area(schema.TISSUE_CLASSES), "tool_area": area(schema.TOOL_CLASSES), "risk_area": area(schema.RISK_CLASSES),
-        "n_classes": F.size(F.map_filter(classes, lambda k, v: (v > 0.003) & (k != "black_background"))), "n_anatomy": anatomy, "n_tools": present(schema.TOOL_CLASSES, 0.003),
-        "has_blood": blood, "has_gallbladder": gall, "has_liver": liver, "has_cystic_duct": duct, "cvs_relevant": gall & (duct | (anatomy >= 3)),
+        "anatomy_area": area(schema.ANATOMY_CLASSES), "tissue_area": area(schema.TISSUE_CLASSES), "tool_area": area(schema.TOOL_CLASSES), "risk_area": area(schema.RISK_CLASSES), "bg_area": area(("black_background",)),
+        "n_classes": F.size(detected(classes)), "n_anatomy": present(schema.ANATOMY_CLASSES, 0.003), "n_tools": present(schema.TOOL_CLASSES, 0.001),
+        **{f"has_{name}": flag for name, flag in has.items()}, "cvs_relevant": has["gallbladder"] & has["liver"] & has["cystic_duct"],
     }
 
 
+def detected(classes: Column) -> Column:
+    """The classes of more than 0.003 of the area, without the background."""
+    return F.map_filter(classes, lambda k, v: (v > 0.003) & (k != "black_background"))
+
+
 def difficulty() -> Column:
     """hard, easy or medium from the feature columns."""
     c = F.col
@@ -83,7 +91,7 @@ def candidates(frames: DataFrame) -> DataFrame:
     """Frames (image statistics and ``classes_detected``) with features, difficulty, scores, ranking and defer score."""
     out = frames.withColumns(class_features(F.coalesce("classes_detected", F.create_map().cast("map<string,double>")))).withColumn("difficulty", difficulty())
     scores = question_scores()
-    out = out.withColumns({f"score_{k}": v for k, v in scores.items()})
+    out = out.withColumns({f"score_{k}": v for k, v in scores.items()}).withColumn("scores", F.create_map(*[x for k in scores for x in (F.lit(k), F.col(f"score_{k}"))]))
     order = F.array_sort(F.array(*[F.struct((-F.col(f"score_{k}")).alias("neg"), F.lit(i).alias("i"), F.lit(k).alias("type")) for i, k in enumerate(schema.QUESTION_TYPES)]))
     out = out.withColumn("question_type_ranking", F.transform(order, lambda x: x["type"])).withColumn("defer_score", defer_score(F.col("score_risk_pitfall")))
     return out.withColumn("primary_question_type", F.element_at("question_type_ranking", 1)).withColumn("suggested_should_defer", F.col("defer_score") >= 0.5)
@@ -113,126 +121,267 @@ def near_duplicates(frames: DataFrame, id_col: str, hash_col: str, least: int =
     return near.unionByName(same)
 
 
-def select_frames(rows: list[dict], seed: int = 42) -> list[dict]:
-    """The constrained choice: buckets from hard to easy, relaxed in phases, then deficits, then deferrable frames.
+# Order of the buckets, and those in which deferrable frames take places. Fixed values.
+BUCKET_ORDER = (
+    ("hard", "risk_pitfall"), ("hard", "safety_verification"), ("hard", "anatomy_landmark"), ("hard", "workflow_phase"), ("medium", "anatomy_landmark"), ("medium", "safety_verification"), ("medium", "workflow_phase"),
+    ("medium", "risk_pitfall"), ("easy", "recognition"), ("easy", "workflow_phase"), ("easy", "anatomy_landmark"), ("easy", "safety_verification"), ("medium", "recognition"),
+)
+DEFER_BUCKETS = (("hard", "risk_pitfall"), ("hard", "safety_verification"), ("medium", "safety_verification"), ("medium", "risk_pitfall"), ("easy", "workflow_phase"), ("medium", "workflow_phase"), ("hard", "workflow_phase"))
+# Phases: own difficulty only, worst place of the type in the frame's ranking (from 0), gap, least score. Fixed values.
+FIRST_PHASES = ((True, 0, schema.GAP, 0.32), (True, 1, schema.GAP, 0.32), (True, 2, schema.RELAXED_GAP, 0.32), (True, 4, schema.RELAXED_GAP, 0.32), (False, 1, schema.RELAXED_GAP, 0.32), (False, 4, 0, 0.32))
+DEFICIT_PHASES = ((True, 1, schema.GAP, 0.32), (True, 2, schema.RELAXED_GAP, 0.30), (True, 4, schema.RELAXED_GAP, 0.28), (False, 2, schema.RELAXED_GAP, 0.30), (False, 4, 0, 0.25))
+# Types whose frames are preferred by their defer score. Fixed values.
+DEFER_TYPES = ("workflow_phase", "safety_verification", "risk_pitfall")
 
-    A few thousand candidates on the driver: each pick depends on all earlier ones. ``rows`` hold ``source, video_id,
-    frame_index, difficulty, primary_question_type, question_type_ranking, scores (map), defer_score, quality_score,
-    phash``; the result adds ``assigned_difficulty`` and ``assigned_question_type``.
-    """
-    chosen: list[dict] = []
-    per_video: dict[str, int] = {}
-    used: set[str] = set()
-    bits = lambda a, b: sum((x ^ y).bit_count() if x * y >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True))
-
-    def can(r: dict, gap: int) -> bool:
-        if r["source"] in used or per_video.get(r["video_id"], 0) >= schema.PER_VIDEO:
-            return False
-        for o in chosen:
-            if o["video_id"] == r["video_id"] and abs(o["frame_index"] - r["frame_index"]) < gap:
-                return False
-            if r.get("phash") and o.get("phash") and bits(r["phash"], o["phash"]) < schema.HAMMING:
-                return False
-        return True
-
-    def take(r: dict, bucket: tuple[str, str]) -> None:
-        chosen.append({**r, "assigned_difficulty": bucket[0], "assigned_question_type": bucket[1]})
-        used.add(r["source"])
-        per_video[r["video_id"]] = per_video.get(r["video_id"], 0) + 1
 
+class Selection:
+    """Chosen frames with what each further choice depends on."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows, self.chosen = rows, []
+
+    @staticmethod
+    def place(r: dict, kind: str) -> int:
+        """The place of a type in the frame's ranking, 999 if it has none."""
+        return r["question_type_ranking"].index(kind) if kind in r["question_type_ranking"] else 999
+
+    @staticmethod
     def rank(r: dict, kind: str) -> tuple:
-        return (r["scores"].get(kind, 0.0), r["defer_score"] if kind in ("risk_pitfall", "safety_verification") else 0.0, r["quality_score"], r["frame_index"])
-
-    count = lambda b: sum((o["assigned_difficulty"], o["assigned_question_type"]) == b for o in chosen)
-    order = [b for d in ("hard", "medium", "easy") for b in schema.BUCKETS if b[0] == d and schema.BUCKETS[b] > 0]
-    phases = (
-        (schema.GAP, lambda r, b: r["difficulty"] == b[0] and r["primary_question_type"] == b[1]),
-        (schema.GAP, lambda r, b: r["difficulty"] == b[0] and b[1] in r["question_type_ranking"][:2]),
-        (schema.RELAXED_GAP, lambda r, b: r["difficulty"] == b[0] and b[1] in r["question_type_ranking"][:3]),
-        (schema.RELAXED_GAP, lambda r, b: b[1] in r["question_type_ranking"][:2]),
-        (0, lambda r, b: r["difficulty"] == b[0]),
-        (0, lambda r, b: True),
-    )
-    for b in order:
-        for gap, fits in phases:
-            if count(b) >= schema.BUCKETS[b]:
-                break
-            for r in sorted((r for r in rows if fits(r, b) and r["scores"].get(b[1], 0) >= 0.32), key=lambda r: rank(r, b[1]), reverse=True):
-                if count(b) >= schema.BUCKETS[b]:
-                    break
-                if can(r, gap):
-                    take(r, b)
-    deferrable = lambda r: r["defer_score"] >= 0.5
-    lacking = schema.DEFERRED - sum(map(deferrable, chosen))
-    spare = sorted((r for r in rows if r["source"] not in used and deferrable(r)), key=lambda r: r["defer_score"], reverse=True)
-    for r in spare:  # the near-duplicate check is not applied to replacements
-        if lacking <= 0:
-            break
-        weak = [o for o in chosen if not deferrable(o) and o["difficulty"] == r["difficulty"]]
-        if not weak:
-            continue
-        out = min(weak, key=lambda o: o["scores"].get(o["assigned_question_type"], 0.0))
-        if r["video_id"] != out["video_id"] and per_video.get(r["video_id"], 0) >= schema.PER_VIDEO:
-            continue
-        chosen.remove(out)
-        used.discard(out["source"])
-        per_video[out["video_id"]] -= 1
-        take(r, (out["assigned_difficulty"], out["assigned_question_type"]))
-        lacking -= 1
-    return chosen
+        return (r["scores"].get(kind, 0.0), r["defer_score"] if kind in DEFER_TYPES else 0.0, r["quality_score"], r["frame_index"])
+
+    @staticmethod
+    def defers(r: dict) -> bool:
+        return r["defer_score"] >= 0.5
+
+    def near(self, r: dict, gap: int) -> bool:
+        """Whether the frame is used, its video full, or another frame of it within the gap."""
+        same = [o for o in self.chosen if o["video_id"] == r["video_id"]]
+        return any(o["source"] == r["source"] for o in self.chosen) or len(same) >= schema.PER_VIDEO or any(abs(o["frame_index"] - r["frame_index"]) < gap for o in same)
+
+    def duplicate(self, r: dict) -> bool:
+        bits = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True))
+        return bool(r.get("phash")) and any(o.get("phash") and bits(r["phash"], o["phash"]) < schema.HAMMING for o in self.chosen)
+
+    def can(self, r: dict, gap: int) -> bool:
+        return not self.near(r, gap) and not self.duplicate(r)
+
+    def take(self, r: dict, bucket: tuple[str, str]) -> None:
+        self.chosen.append({**r, "assigned_difficulty": bucket[0], "assigned_question_type": bucket[1]})
+
+    def of(self, bucket: tuple[str, str]) -> list[dict]:
+        return [o for o in self.chosen if (o["assigned_difficulty"], o["assigned_question_type"]) == bucket]
+
+    def pool(self, bucket: tuple[str, str], own: bool, worst: int, gap: int, least: float) -> list[dict]:
+        """The frames that a phase offers a bucket, the best first."""
+        fits = (r for r in self.rows if (not own or r["difficulty"] == bucket[0]) and self.place(r, bucket[1]) <= worst and r["scores"].get(bucket[1], 0.0) >= least and self.can(r, gap))
+        return sorted(fits, key=lambda r: self.rank(r, bucket[1]), reverse=True)
+
+    def fill_bucket(self, bucket: tuple[str, str], target: int) -> None:
+        taken = 0
+        for own, worst, gap, least in FIRST_PHASES:
+            for r in self.pool(bucket, own, worst, gap, least) if taken < target else ():
+                if taken < target and self.can(r, gap):
+                    self.take(r, bucket)
+                    taken += 1
+
+    def fill_deficits(self, total: int) -> None:
+        """One frame at a time for each bucket below its target, easy buckets first, the emptier ones before the others."""
+        for own, worst, gap, least in DEFICIT_PHASES:
+            lacking = [(b, n - len(self.of(b))) for b, n in schema.BUCKETS.items() if n > len(self.of(b))]
+            for bucket, missing in sorted(lacking, key=lambda x: (schema.DIFFICULTIES.index(x[0][0]), -x[1])):
+                for _ in range(missing):
+                    pool = self.pool(bucket, own, worst, gap, least) if len(self.chosen) < total else []
+                    if not pool:
+                        break
+                    self.take(pool[0], bucket)
+
+    def cover_deferrals(self) -> None:
+        """Deferrable frames take the places of the weakest others of their bucket until enough are chosen. Near duplicates
+        are not looked for here."""
+        needed = schema.DEFERRED - sum(map(self.defers, self.chosen))
+        for bucket in DEFER_BUCKETS:
+            level, kind = bucket
+            score = lambda r: r["scores"].get(kind, 0.0)  # noqa: B023, E731
+            fits = (r for r in self.rows if r["difficulty"] == level and self.defers(r) and self.place(r, kind) <= 2 and score(r) >= 0.35 and not self.near(r, schema.RELAXED_GAP))
+            incoming = sorted(fits, key=lambda r: (r["defer_score"], score(r)), reverse=True)
+            outgoing = sorted((o for o in self.of(bucket) if not self.defers(o)), key=lambda o: (score(o), -o["quality_score"]))
+            for new, old in list(zip(incoming, outgoing, strict=False))[: max(0, needed)]:
+                self.chosen.remove(old)
+                self.take(new, bucket)
+                needed -= 1
+
+    def trim(self) -> None:
+        """The best of each bucket up to its target, in the order of the buckets."""
+        best = lambda o: (o["scores"].get(o["assigned_question_type"], 0.0), o["defer_score"], o["quality_score"])
+        self.chosen = [o for b, n in schema.BUCKETS.items() for o in sorted(self.of(b), key=best, reverse=True)[:n]]
+
+
+def select_frames(rows: list[dict]) -> list[dict]:
+    """The constrained choice: buckets from hard to easy in relaxing phases, deficits one frame at a time, deferrable
+    frames for others of their bucket, a trim to the targets if there are too many, and the last two steps again.
+
+    A few thousand candidates on the driver: each pick depends on all earlier ones. ``rows`` hold ``source, video_id,
+    frame_index, difficulty, question_type_ranking, scores (map), defer_score, quality_score, phash``; the result adds
+    ``assigned_difficulty`` and ``assigned_question_type``. Of frames that rank equal the earlier row is taken.
+    """
+    total = sum(schema.BUCKETS.values())
+    s = Selection(rows)
+    for bucket in BUCKET_ORDER:
+        s.fill_bucket(bucket, schema.BUCKETS[bucket])
+    s.fill_deficits(total)
+    s.cover_deferrals()
+    if len(s.chosen) > total:
+        s.trim()
+    if len(s.chosen) < total:
+        s.fill_deficits(total)
+    s.cover_deferrals()
+    return s.chosen
+
+
+def trim_to_targets(df: DataFrame, targets: DataFrame, id_col: str) -> DataFrame:
+    """The rows of each bucket (``difficulty, question_type``) up to its ``target``: by the score of the type, then by
+    ``defer_score`` and ``quality_score``, then by id. ``df`` has ``score``; nulls come last."""
+    w = Window.partitionBy("difficulty", "question_type").orderBy(*[F.col(c).desc_nulls_last() for c in ("score", "defer_score", "quality_score")], id_col)
+    return df.join(F.broadcast(targets), ["difficulty", "question_type"]).withColumn("_rn", F.row_number().over(w)).where("_rn <= target").drop("_rn", "target")
 
 
 def validate_selection(selected: DataFrame) -> DataFrame:
-    """``issue, n``: videos over the limit, too few videos, buckets off target, deferrable frames short."""
+    """``issue, n``: frames without a mask or (with ``readable``) unreadable, near duplicates, videos over the limit or too
+    few, buckets with a target that miss it, deferrable frames short. Columns that are missing make no issue."""
+    flag = lambda name, issue: selected.agg(F.lit(issue).alias("issue"), F.count_if(~F.coalesce(F.col(name), F.lit(False))).alias("n"))
+    parts = [flag(name, issue) for name, issue in (("has_mask", "no_mask"), ("readable", "corrupt")) if name in selected.columns]
+    if "phash" in selected.columns:
+        parts.append(near_duplicates(selected, "source", "phash").agg(F.lit("near_duplicates").alias("issue"), F.count(F.lit(1)).alias("n")))
     per = selected.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
-    over = per.agg(F.lit("video_over_limit").alias("issue"), F.count_if(F.col("n") > schema.PER_VIDEO).alias("n"))
-    few = per.agg(F.lit("few_videos").alias("issue"), F.greatest(F.lit(0), 5 - F.count(F.lit(1))).cast("long").alias("n"))
-    goal = selected.sparkSession.createDataFrame([(d, t, n) for (d, t), n in schema.BUCKETS.items()], "assigned_difficulty string, assigned_question_type string, target int")
+    parts.append(per.agg(F.lit("video_over_limit").alias("issue"), F.count_if(F.col("n") > schema.PER_VIDEO).alias("n")))
+    parts.append(per.agg(F.lit("few_videos").alias("issue"), F.greatest(F.lit(0), 5 - F.count(F.lit(1))).cast("long").alias("n")))
+    goal = selected.sparkSession.createDataFrame([(d, t, n) for (d, t), n in schema.BUCKETS.items() if n], "assigned_difficulty string, assigned_question_type string, target int")
     have = selected.groupBy("assigned_difficulty", "assigned_question_type").agg(F.count(F.lit(1)).alias("have"))
-    off = goal.join(have, ["assigned_difficulty", "assigned_question_type"], "left").agg(F.lit("bucket_off_target").alias("issue"), F.count_if(F.coalesce("have", F.lit(0)) != F.col("target")).alias("n"))
-    short = selected.agg(F.lit("deferrable_short").alias("issue"), F.greatest(F.lit(0), schema.DEFERRED - F.count_if(F.col("defer_score") >= 0.5)).cast("long").alias("n"))
-    return over.unionByName(few).unionByName(off).unionByName(short)
+    parts.append(goal.join(have, ["assigned_difficulty", "assigned_question_type"], "left").agg(F.lit("bucket_off_target").alias("issue"), F.count_if(F.coalesce("have", F.lit(0)) != F.col("target")).alias("n")))
+    parts.append(selected.agg(F.lit("deferrable_short").alias("issue"), F.greatest(F.lit(0), schema.DEFERRED - F.count_if(F.col("defer_score") >= 0.5)).cast("long").alias("n")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-# --- images --------------------------------------------------------------------------------------------------------
+def save_order(selected: DataFrame) -> DataFrame:
+    """``selected`` with its position, ``frame_id``, ``file_name``, ``qid`` and note, by difficulty, type, video and frame.
 
-STATS = "brightness double, contrast double, sharpness double, edge_density double, saturation double, bright_fraction double, dark_fraction double, specular_fraction double, red_dominance double, quality_score double"
+    A selection holds about a hundred frames: one window orders them.
+    """
+    place = lambda c, names: F.array_position(F.array(*[F.lit(x) for x in names]), F.col(c))
+    w = Window.orderBy(place("assigned_difficulty", schema.DIFFICULTIES), place("assigned_question_type", schema.QUESTION_TYPES), "video_id", "frame_index")
+    i = F.col("position")
+    top = F.array_join(F.transform(F.slice("question_type_ranking", 1, 3), lambda t: F.concat(t, F.lit("="), F.round(F.element_at("scores", t), 4).cast("string"))), ", ")
+    note = F.concat(
+        F.lit("Auto-selected for "), "assigned_question_type", F.lit(" | "), "assigned_difficulty", F.lit("; top3="), top, F.lit("; defer="), F.format_string("%.2f", "defer_score"), F.lit("; classes="),
+        F.array_join(F.map_keys(F.coalesce("classes_detected", F.create_map().cast("map<string,double>"))), ", "),
+    )
+    return selected.withColumn("position", F.row_number().over(w)).withColumns({"frame_id": F.format_string("frame_%03d", i), "file_name": F.format_string("frame_%03d.png", i), "qid": F.format_string("Q%03d", i), "notes": note})
 
 
-def image_statistics(images: DataFrame, id_col: str = "path") -> DataFrame:
-    """Ten statistics and the 256-bit average hash (4 words) of images as Spark's image source gives them (BGR bytes).
+def blueprint(saved: DataFrame) -> DataFrame:
+    """The rows of a question blueprint from ``save_order``."""
+    return saved.select("qid", F.col("file_name").alias("frame"), F.col("assigned_question_type").alias("question_type"), F.col("assigned_difficulty").alias("difficulty"), (F.col("defer_score") >= 0.5).alias("should_defer"), F.map_keys("classes_detected").alias("classes_detected"), "notes")
 
-    ``images``: ``path, image`` (struct with height, width, nChannels, data). An unreadable image (height below 1) gives
-    nulls. One image at a time is unpacked.
-    """
-    rows = images.select(F.col(id_col).alias("id"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"), F.col("image.data").alias("data"))
+
+def candidate_stats(candidates: DataFrame) -> DataFrame:
+    """``kind, name, n, share`` of candidates: types, difficulties, deferrals, masks, and frames that hold each class."""
+    count = lambda df, kind, name: df.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), F.col("name").cast("string").alias("name"), "n")
+    rows = candidates.select("primary_question_type", "difficulty", "suggested_should_defer", *(["has_mask"] if "has_mask" in candidates.columns else []), detected(F.coalesce("classes_detected", F.create_map().cast("map<string,double>"))).alias("_c"))
+    parts = [count(rows, k, F.col(c)) for k, c in (("question_type", "primary_question_type"), ("difficulty", "difficulty"), ("defer", "suggested_should_defer"), ("mask", "has_mask")) if c in rows.columns]
+    parts.append(count(rows.select(F.explode(F.map_keys("_c")).alias("c")), "class", F.col("c")))
+    total = candidates.agg(F.count(F.lit(1)).alias("_total"))
+    return functools.reduce(DataFrame.unionByName, parts).crossJoin(F.broadcast(total)).select("kind", "name", "n", F.try_divide("n", "_total").alias("share"))
+
+
+# --- images --------------------------------------------------------------------------------------------------------
+
+STATS = "brightness double, contrast double, sharpness double, edge_density double, saturation double, bright_fraction double, dark_fraction double, specular_fraction double, red_dominance double, quality_score double"
+FEATURES = "sharpness_lap_var double, brightness_mean double, contrast_std double, underexposed_frac double, overexposed_frac double, specular_frac double, red_dominance_frac double, height double, width double"
+
+
+def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray | None:
+    """The red, green and blue planes (3 x height x width) of an image as Spark's image source gives it, or None."""
+    if height < 1 or width < 1 or not data:
+        return None
+    a = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+    return np.stack([a[..., min(i, channels - 1)] for i in (2, 1, 0)]) if channels >= 3 else np.stack([a[..., 0]] * 3)
+
+
+def frame_statistics(rgb: np.ndarray) -> tuple[float, ...]:
+    """The ten figures of ``STATS``, to four places."""
+    x = rgb.astype(np.float32)
+    gray = x.mean(axis=0)
+    slope = sum(g.astype(np.float64) ** 2 for g in np.gradient(gray)) if min(gray.shape) > 1 else np.zeros(gray.shape)
+    top, low = x.max(axis=0), x.min(axis=0)
+    brightness, contrast, sharpness, edges = float(gray.mean()), float(gray.std()), float(slope.mean()), float((np.sqrt(slope) > 20).mean())
+    exposure = max(0.0, 1.0 - abs(brightness - 125.0) / 125.0)
+    quality = 12.0 * exposure + 0.018 * contrast + 0.0030 * sharpness + 18.0 * edges
+    figures = (
+        brightness, contrast, sharpness, edges, float(((top - low) / np.maximum(top, 1.0)).mean()), float((gray > 220).mean()), float((gray < 35).mean()), float((low > 240).mean()),
+        float((x[0] - 0.5 * (x[1] + x[2])).mean()), quality,
+    )
+    return tuple(round(f, 4) for f in figures)
+
+
+def _triangle(size: int, to: int) -> np.ndarray:
+    """Weights (to x size) of a linear filter that shrinks a line, as wide as the ratio of the sizes."""
+    ratio = size / to
+    wide = max(1.0, ratio)
+    centre = (np.arange(to) + 0.5) * ratio
+    w = np.maximum(0.0, 1.0 - np.abs((np.arange(size)[None, :] + 0.5 - centre[:, None]) / wide))
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def average_hash(rgb: np.ndarray, side: int = 16) -> list[int]:
+    """The bits of a ``side`` x ``side`` image above its mean, as words of 64 bits; shrunk linearly, in whole grey levels."""
+    weights = np.array([19595, 38470, 7471])
+    gray = (np.tensordot(weights, rgb.astype(np.int64), axes=1) + 0x8000) >> 16
+    wide = np.floor(gray @ _triangle(gray.shape[1], side).T + 0.5)
+    small = np.floor(_triangle(gray.shape[0], side) @ wide + 0.5)
+    return [int(x) for x in np.packbits((small > small.mean()).ravel()).view(">i8")]
+
+
+def view_features(rgb: np.ndarray) -> tuple[float, ...]:
+    """The nine figures of ``FEATURES``: Laplacian variance, grey levels, exposure, glare and redness."""
+    r, g, b = (p.astype(np.float64) for p in rgb)
+    gray = np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)
+    edge = np.pad(gray, 1, mode="reflect") if min(gray.shape) > 1 else np.pad(gray, 1, mode="edge")
+    laplace = edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:] - 4 * gray
+    value, low = rgb.max(axis=0).astype(np.float64), rgb.min(axis=0).astype(np.float64)
+    saturation = np.floor(np.where(value > 0, 255.0 * (value - low) / np.maximum(value, 1.0), 0.0) + 0.5)
+    return (
+        float(laplace.var()), float(gray.mean()), float(gray.std()), float((gray < 15).mean()), float((gray > 245).mean()), float(((value > 245) & (saturation < 60)).mean()),
+        float(((r > 80) & (r > 1.25 * g) & (r > 1.25 * b)).mean()), float(gray.shape[0]), float(gray.shape[1]),
+    )
+
+
+def _by_image(images: DataFrame, id_col: str, ddl: str, figures) -> DataFrame:  # noqa: ANN001
+    """One image at a time is unpacked; an unreadable one gives nulls."""
+    rows = images.select(F.col(id_col).cast("string").alias("id"), *[F.col(f"image.{n}").alias(n) for n in ("height", "width", "nChannels", "data")])
+    names = [p.split()[0] for p in ddl.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [p.split()[0] for p in STATS.split(", ")]
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
-                if r.h < 1 or not r.data:
-                    out.append((r.id, *[None] * len(names), None))
-                    continue
-                a = np.frombuffer(r.data, dtype=np.uint8).reshape(r.h, r.w, r.c).astype(np.float64)
-                b, g, d = (a[..., min(i, r.c - 1)] for i in range(3))
-                gray = 0.114 * b + 0.587 * g + 0.299 * d
-                top, low = np.maximum(np.maximum(b, g), d), np.minimum(np.minimum(b, g), d)
-                sat = np.where(top > 0, (top - low) / np.maximum(top, 1), 0.0)
-                gy, gx = np.gradient(gray) if min(gray.shape) > 1 else (np.zeros_like(gray), np.zeros_like(gray))
-                slope = np.hypot(gx, gy)
-                sharp = float((slope**2).mean())
-                figures = (gray.mean(), gray.std(), sharp, (slope > 20).mean(), sat.mean(), (gray > 220).mean(), (gray < 30).mean(), ((gray > 240) & (sat < 0.2)).mean(), ((d > 80) & (d > 1.25 * g) & (d > 1.25 * b)).mean())
-                quality = 0.3 * figures[1] + 4.0 * np.log1p(sharp) * (1 - min(1.0, figures[5] + figures[6]))
-                ys, xs = np.linspace(0, r.h - 1, 16).round().astype(int), np.linspace(0, r.w - 1, 16).round().astype(int)
-                small = gray[np.ix_(ys, xs)]
-                bits = (small > small.mean()).ravel()
-                hashed = [int(x) for x in np.packbits(bits).view(">i8")]
-                out.append((r.id, *map(float, figures), float(quality), hashed))
-            yield pd.DataFrame(out, columns=["id", *names, "phash"])
-
-    return rows.mapInPandas(run, f"id string, {STATS}, phash array<bigint>")
+                rgb = pixels(r.height, r.width, r.nChannels, r.data)
+                out.append((r.id, *([None] * len(names) if rgb is None else figures(rgb))))
+            yield pd.DataFrame(out, columns=["id", *names])
+
+    return rows.mapInPandas(run, f"id string, {ddl}")
+
+
+def image_statistics(images: DataFrame, id_col: str = "path") -> DataFrame:
+    """``id``, ten statistics and the 256-bit average hash (4 words) of images as Spark's image source gives them.
+
+    ``images``: ``path, image`` (struct with height, width, nChannels, data). An unreadable image gives nulls.
+    """
+    return _by_image(images, id_col, f"{STATS}, phash array<bigint>", lambda rgb: (*frame_statistics(rgb), average_hash(rgb)))
+
+
+def image_features(images: DataFrame, id_col: str = "path") -> DataFrame:
+    """``id`` and the nine features that the observability index is made of; an unreadable image gives nulls."""
+    return _by_image(images, id_col, FEATURES, view_features)
 
 
 def mask_classes(images: DataFrame, id_col: str = "path") -> DataFrame:

@@ -44,7 +44,10 @@ def extract_pages(spark: SparkSession, path: str, first: Extractor, second: Extr
     """``path, page_num, text`` of paged binary files by pluggable extractors; blank pages are dropped.
 
     The second extractor takes over where the first raises, gives fewer than 200 signs, or fewer than 70 % ASCII signs.
+    Wrongly decoded sequences of a page are repaired.
     """
+    from ferrywork.functions.text import normalize_mojibake
+
 
     def pages(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -66,15 +69,42 @@ def extract_pages(spark: SparkSession, path: str, first: Extractor, second: Extr
             yield pd.DataFrame(out, columns=["path", "page_num", "text"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(pages, "path string, page_num int, text string")
+    return files.select("path", "content").mapInPandas(pages, "path string, page_num int, text string").withColumn("text", normalize_mojibake(F.col("text")))
 
 
-def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``path, name, length`` of the files below ``path``."""
+def list_files(spark: SparkSession, path: str, glob: str = "*", without: tuple[str, ...] = ()) -> DataFrame:
+    """``path, name, length`` of the files below ``path`` whose path holds none of the parts ``without``. The contents are
+    not read: only the metadata columns are."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    for part in without:
+        files = files.where(~F.contains("path", F.lit(part)))
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
+def frame_files(spark: SparkSession, path: str) -> DataFrame:
+    """The frames below ``path`` (``*_endo.png`` without masks) with their watershed and colour masks, where there are any."""
+    every = list_files(spark, path, "*.png")
+    frames = list_files(spark, path, "*_endo.png", ("_mask", "_watershed", "_color"))
+    masks = companion(every, "_endo.png", ["_endo_watershed_mask.png", "_watershed_mask.png"]).withColumnRenamed("companion", "watershed_mask_path")
+    colours = companion(every, "_endo.png", ["_endo_color_mask.png", "_color_mask.png"]).withColumnRenamed("companion", "color_mask_path")
+    rows = frames.join(masks, "path", "left").join(colours, "path", "left")
+    return rows.select(F.col("path").alias("source"), "watershed_mask_path", "color_mask_path", F.col("watershed_mask_path").isNotNull().alias("has_mask"))
+
+
+def resolve_frames(rows: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """``rows`` with ``frame_path`` resolved and ``frame_exists``: the path as given, else ``root/split/image_filename``,
+    else ``root/split/video_frame.jpg``, the first that ``files`` (``path``) holds; none leaves the given path."""
+    options = (
+        F.col("frame_path"), F.concat_ws("/", F.lit(root), "split", "image_filename"),
+        F.concat(F.lit(f"{root}/"), "split", F.lit("/"), F.col("video_id").cast("string"), F.lit("_"), F.col("frame_id").cast("int").cast("string"), F.lit(".jpg")),
+    )
+    keyed = rows.withColumn("_key", F.xxhash64(F.to_json(F.struct("*"))))
+    wanted = keyed.select("_key", F.posexplode(F.array(*options)).alias("_at", "path")).where("path is not null").distinct()
+    found = wanted.join(files.select("path").distinct(), "path").groupBy("_key").agg(F.min_by("path", "_at").alias("_found"))
+    out = keyed.join(found, "_key", "left")
+    return out.withColumn("frame_exists", F.col("_found").isNotNull()).withColumn("frame_path", F.coalesce("_found", "frame_path")).drop("_key", "_found")
+
+
 def resolve_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """``manifest`` with the ``path`` of its file; .txt and .pdf stand in for each other, rows without a file are left out."""
     stem = lambda c: F.regexp_replace(F.lower(c), r"\.(?:txt|pdf|md)$", "")
@@ -118,6 +148,15 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """A small report as one JSON list at a local ``path``: the rows pass the driver one by one."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for i, r in enumerate(df.toJSON().toLocalIterator()):
+            f.write(("," if i else "") + "\n  " + r)
+        f.write("\n]\n")
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with a header; ``single`` makes one file and is meant for small reports."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("escape", '"').csv(path, header=True)
@@ -153,6 +192,37 @@ def markdown_table(df: DataFrame, limit: int = 200) -> str:
     return "\n".join([head, *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)])
 
 
+def markdown_report(title: str, parts: dict[str, DataFrame], facts: dict[str, object] | None = None) -> str:
+    """A report of small tables: a title, facts as a list, and a section with a table for each part."""
+    lines = [f"# {title}", "", *(f"- **{k}**: {v}" for k, v in (facts or {}).items()), ""]
+    for name, df in parts.items():
+        lines += [f"## {name}", "", markdown_table(df), ""]
+    return "\n".join(lines)
+
+
+def config(spark: SparkSession, prefix: str = "spark.ferrywork.", **defaults: object) -> dict[str, object]:
+    """Settings by name: the session's ``prefix + name``, else the environment's upper-case name, else the default, in the
+    default's type (1, true and yes stand for true)."""
+    import os
+
+    out: dict[str, object] = {}
+    for name, default in defaults.items():
+        given = spark.conf.get(prefix + name, None) or os.environ.get(name.upper())
+        kind = type(default)
+        out[name] = default if given is None else given.lower() in ("1", "true", "yes") if kind is bool else kind(given) if default is not None else given
+    return out
+
+
+def read_yaml(path: str) -> dict:
+    """A YAML configuration; needs the package ``yaml``."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the package yaml") from e
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f)
+
+
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 30) -> DataFrame:
     """``bin, n``: what a plot of the column shows."""
     return df.where(F.col(column).isNotNull()).groupBy(F.width_bucket(F.col(column), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
