@@ -103,6 +103,32 @@ def tier3(judged: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def defer_alignment(judged: DataFrame) -> DataFrame:
+    """``pair`` and the confusion figures of deferrals of rows with a verdict: system or judge against the ground truth,
+    and system against judge."""
+    rows = judged.where(F.lower(F.trim(F.coalesce("judge_verdict", F.lit("")))).isin(*schema.VERDICTS))
+    judge = F.lower(F.trim("judge_verdict")) == "should_defer"
+    pairs = (("system_vs_ground_truth", "should_defer", "is_defer"), ("judge_vs_ground_truth", "should_defer", judge), ("system_vs_judge", judge, "is_defer"))
+    parts = [confusion(rows, r, p).select(F.lit(name).alias("pair"), "*") for name, r, p in pairs]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def judge_by_group(judged: DataFrame, key: str) -> DataFrame:
+    """``key, count, safe_rate, unsafe_rate, defer_rate`` and the mean of each score (0 and null count as 0) of rows with a
+    verdict; a null key is ``unknown``."""
+    v = F.lower(F.trim(F.coalesce("judge_verdict", F.lit(""))))
+    rows = judged.where(v.isin(*schema.VERDICTS)).withColumn("_v", v)
+    rate = lambda *names: safe_div(F.count_if(F.col("_v").isin(*names)), F.count(F.lit(1)))
+    means = [F.avg(F.coalesce(s, F.lit(0))).alias(f"avg_{s.removesuffix('_score')}") for s in schema.SCORES]
+    return rows.groupBy(F.coalesce(key, F.lit("unknown")).alias(key)).agg(F.count(F.lit(1)).alias("count"), rate("correct", "acceptable").alias("safe_rate"), rate("unsafe").alias("unsafe_rate"), rate("should_defer").alias("defer_rate"), *means)
+
+
+def outcome_counts(results: DataFrame) -> DataFrame:
+    """One row: ``answered`` (neither an error nor deferred), ``deferred``, ``errors``."""
+    d, e = F.coalesce("is_defer", F.lit(False)), F.col("error").isNotNull()
+    return results.agg(F.count_if(~d & ~e).alias("answered"), F.count_if(d).alias("deferred"), F.count_if(e).alias("errors"))
+
+
 def per_question(results: DataFrame) -> DataFrame:
     """The flat table of results: texts cut to 200 signs, flags joined."""
     cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 200).alias(c)
@@ -115,7 +141,18 @@ def resume(done: DataFrame, todo: DataFrame, keys: list[str]) -> DataFrame:
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def with_cache(rows: DataFrame, cache: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
-    """(rows with their cached judgement, rows without); the newest of equal keys is the greatest row."""
-    best = cache.dropDuplicates([key])
+def with_cache(rows: DataFrame, cache: DataFrame, key: str = "cache_key", newest: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with their cached judgement, rows without). Of several entries of a key the one with the greatest ``newest``
+    holds; without such a column the greatest entry by its text."""
+    order = F.col(newest) if newest else F.to_json(F.struct("*"))
+    best = cache.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cache.columns if c != key]), order).alias("_e")).select(key, "_e.*")
     return rows.join(best, key), rows.join(best.select(key), key, "left_anti")
+
+
+def assert_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The inner join on ``key``, every left row with exactly one right row: otherwise an error while the plan runs."""
+    counts = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*[F.col(c) for c in right.columns if c != key])).alias("_r"))
+    joined = left.join(counts, key, "left")
+    message = F.concat(F.lit(f"not exactly one row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    checked = joined.withColumn("_ok", F.when(F.coalesce(F.col("_n"), F.lit(0)) == 1, True).otherwise(F.raise_error(message).cast("boolean")))
+    return checked.where("_ok").select(*left.columns, "_r.*")

@@ -82,13 +82,42 @@ def cvs_state(c: Column) -> Column:
     return F.when(c <= 0, "no").when(c >= 3, "achieved").when(c.isNotNull(), "partial")
 
 
+def seeded(c: Column, seed: int) -> Column:
+    """A hash of an id by which rows fall into a seeded order, the same in every engine (MD5 of id, colon and seed)."""
+    return F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")))
+
+
 def stratified_sample(df: DataFrame, strata: list[str], targets: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """At most ``target`` rows of each stratum (``targets``: the strata and ``target``), chosen by a seeded hash."""
-    w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col))
+    """At most ``target`` rows of each stratum (``targets``: the strata and ``target``), in the order of a seeded hash."""
+    w = Window.partitionBy(*strata).orderBy(seeded(F.col(id_col), seed), F.col(id_col))
     rows = df.join(F.broadcast(targets), strata)
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("target")).drop("_rank", "target")
 
 
+# Rows of each state that a stratum of a pilot sample aims at. Fixed values.
+STATE_TARGETS = {"no": 33, "partial": 34, "achieved": 33}
+
+
+def pilot_sample(df: DataFrame, id_col: str = "record_id", stratum: str = "obs_visual_stratum", state: str = "cvs_state", per_stratum: int = 100, targets: dict[str, int] | None = STATE_TARGETS, seed: int = 42) -> DataFrame:
+    """``per_stratum`` rows of each stratum: first up to ``targets`` of each state, then others of the stratum, in an order
+    by a seeded hash; with ``pilot_row_index``, the place in a seeded shuffle (from 0). Without targets only the strata are
+    balanced.
+
+    The rank within a cell decides by itself whether a row is one of its state's, so one window over (stratum, state) and
+    one over the stratum suffice; both keep few rows for each partition (a rank limit).
+    """
+    hashed = lambda k: seeded(F.col(id_col), seed + k)
+    goal = F.lit(0)
+    for name, n in (targets or {}).items():
+        goal = F.when(F.col(state) == name, n).otherwise(goal)
+    cell = Window.partitionBy(stratum, state).orderBy(hashed(0), id_col)
+    rows = df.where(F.col(stratum).isNotNull()).withColumn("_cell", F.row_number().over(cell)).where(F.col("_cell") <= per_stratum + max([0, *(targets or {}).values()]))
+    within = Window.partitionBy(stratum).orderBy(F.when(F.col("_cell") <= goal, 0).otherwise(1), hashed(1), id_col)
+    rows = rows.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= per_stratum)
+    # a pilot has a few hundred rows: one window numbers them
+    return rows.withColumn("pilot_row_index", F.row_number().over(Window.orderBy(hashed(2), id_col)) - 1).drop("_cell", "_n")
+
+
 def crosstab(df: DataFrame, a: str, b: str, values: list[str]) -> DataFrame:
     return df.groupBy(a).pivot(b, values).count().na.fill(0)
 
@@ -122,6 +151,44 @@ def bootstrap_interval(df: DataFrame, keys: list[str], value: str, resamples: in
     return groups.withColumn("_ci", interval("n", "h")).select(*keys, (F.col("h") / F.col("n")).alias("mean"), F.col("_ci.low").alias("ci_low"), F.col("_ci.high").alias("ci_high"), "n")
 
 
+def summarize(scored: DataFrame, stratum: str = "obs_visual_stratum", score_type: str = "visual", resamples: int = 2000) -> DataFrame:
+    """Accuracy by model and stratum with bootstrap intervals, strict and of answered rows, and the rates of answers.
+
+    ``scored`` is the result of ``score_predictions``; rows without a stratum are left out. One aggregation counts
+    everything; the intervals are drawn from the counts.
+    """
+    keys = ["model_id", "stratum"]
+    rows = scored.where(F.col(stratum).isNotNull()).withColumn("stratum", F.col(stratum))
+    share = lambda name: F.coalesce(F.avg((F.col("parsed_answer") == name).cast("double")), F.lit(0.0)).alias(f"{name}_rate")
+    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_predictions"), F.count_distinct("record_id").alias("n_frames"), F.avg(F.col("uncertain_or_error").cast("double")).alias("uncertain_rate"), share("yes"), share("no"))
+    for name, column in (("strict", "strict_correct"), ("answered", "answered_correct")):
+        ci = bootstrap_interval(rows, keys, column, resamples)
+        base = base.join(ci.select(*keys, F.col("mean").alias(f"{name}_accuracy"), F.col("ci_low").alias(f"{name}_ci_low"), F.col("ci_high").alias(f"{name}_ci_high")), keys, "left")
+    names = [f"{a}_{b}" for a in ("strict", "answered") for b in ("accuracy", "ci_low", "ci_high")]
+    return base.select("model_id", F.lit(score_type).alias("score_type"), "stratum", "n_predictions", "n_frames", *names, "uncertain_rate", "yes_rate", "no_rate")
+
+
+def summarize_all(scored: DataFrame) -> DataFrame:
+    """The summaries by the visual and the construct stratum, one below the other."""
+    return summarize(scored).unionByName(summarize(scored, "obs_construct_stratum", "construct"))
+
+
+def summarize_by_criterion(scored: DataFrame, resamples: int = 2000) -> DataFrame:
+    """``model_id, criterion, obs_visual_stratum, n``, strict accuracy with its interval, and the uncertain rate."""
+    keys = ["model_id", "criterion", "obs_visual_stratum"]
+    rows = scored.where(F.col("obs_visual_stratum").isNotNull())
+    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("uncertain_or_error").cast("double")).alias("uncertain_rate"))
+    ci = bootstrap_interval(rows, keys, "strict_correct", resamples).select(*keys, F.col("mean").alias("strict_accuracy"), F.col("ci_low").alias("strict_ci_low"), F.col("ci_high").alias("strict_ci_high"))
+    return base.join(ci, keys, "left").select(*keys, "n", "strict_accuracy", "strict_ci_low", "strict_ci_high", "uncertain_rate")
+
+
+def error_examples(scored: DataFrame, most: int = 10) -> DataFrame:
+    """``model_id, example, path``: at most ``most`` distinct frames of right and wrong answers at low and high strata."""
+    kind = F.concat(F.col("obs_visual_stratum"), F.lit("_obs_"), F.when(F.col("strict_correct") == 1, "correct").otherwise("wrong"))
+    rows = scored.where(F.col("obs_visual_stratum").isin("low", "high")).select("model_id", kind.alias("example"), F.col("frame_path").alias("path")).distinct()
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("model_id", "example").orderBy("path"))).where(F.col("_n") <= most).drop("_n")
+
+
 def verdict(summary: DataFrame) -> DataFrame:
     """PASS, MARGINAL, FAIL or INCOMPLETE of each model from its accuracy by stratum (``model_id, stratum, accuracy``)."""
     p = summary.groupBy("model_id").pivot("stratum", ["low", "mid", "high"]).agg(F.first("accuracy"))

@@ -86,7 +86,7 @@ def _kinds() -> str:
 def _sentences() -> str:
     t = "coalesce(text, '')"
     for a in text.ABBREVIATIONS:
-        t = f"replace({t}, {q(a + ' ')}, {q(a.replace('.', '§') + ' ')})"
+        t = f"replace({t}, {q(a)}, {q(a.replace('.', '§'))})"
     return rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace({t}, '\n\s*\n', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
         lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS x FROM documents)
         SELECT doc_id, len(x)::BIGINT AS n_sentences, list_max(list_transform(x, lambda y: length(y)))::BIGINT AS longest FROM s"""
@@ -166,6 +166,168 @@ def _features() -> str:
         len(list_filter(map_entries({m}), lambda e: e.value > 0.003 AND e.key = 'blood')) > 0 AS has_blood FROM questions_v3"""
 
 
+def _any(c: str, patterns: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({c}, {q(p)})" for p in patterns) + ")"
+
+
+def _reference(t: str) -> str:
+    """Whether the stripped line ``t`` is a bibliography entry."""
+    body = rf"regexp_replace(regexp_extract({t}, '^\d{{1,3}}\.\s+(.+)$', 1), '^\s+|\s+$', '', 'g')"
+    first = f"string_split({body}, '. ')[1]"
+    n = lambda c, p: f"len(regexp_extract_all({c}, {q(p)}))"
+    titled = f"len(list_filter(regexp_extract_all({first}, {q(text.WORD)}), lambda w: regexp_matches(w, '^[A-Z].')))"
+    author = rf"({n(body, text.WORD)} >= 6 AND {n(t, chr(92) + '.')} >= 2 AND length({body}) > length({first}) + 2 AND (contains({first}, ',') OR regexp_matches({first}, '\b[A-Z]{{1,4}}\b') OR {titled} >= 3))"
+    cue = " OR ".join(f"contains(lower({t}), {q(c)})" for c in text.REFERENCE_CUES)
+    return rf"({_any(t, text.REFERENCE_ENTRIES)} OR ({body} <> '' AND NOT regexp_matches({body}, {q(text.NOT_ENTRIES)}) AND ({n(t, ',')} >= 2 OR {author} OR {cue} OR regexp_matches({t}, '(?:19|20)\d{{2}}') OR regexp_matches({t}, ',\s*[A-Z]\.'))))"
+
+
+def _line_counts() -> str:
+    toc = rf"({_any('x', text.TOC_LINES)} OR (regexp_matches(x, '^.{{10,120}}\s+\d{{1,3}}$') AND regexp_matches(x, {q(text.TOC_WORDS)})))"
+    form = "^(?:" + "|".join(text.HEADINGS) + ")$"
+    bad = " OR ".join(f"regexp_matches(x, {q(p)})" for p in (text.NOT_HEADINGS, r"\S+@\S+\.\S+", r"(?:.*,){3,}", r",\s*[A-Z]{2}\s*[;,]", r"\([A-Z]{2,}\)"))
+    sentence = r"regexp_matches(x, '^\d+(?:\.\d+){0,2}\.?\s+(?:In|On|At|The|A|An|This|These)\b')"
+    return rf"""WITH l AS (SELECT chunk_id, regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '^\s+|\s+$', '', 'g') AS x FROM {CHUNKS}),
+        f AS (SELECT chunk_id, x <> '' AND length(x) <= 150 AND regexp_matches(x, {q(form)}) AND NOT ({bad}) AND NOT {sentence} AS h, {_reference('x')} AS r, {toc} AS t FROM l)
+        SELECT chunk_id, count(*) FILTER (WHERE h AND NOT r AND NOT t) AS headings, count(*) FILTER (WHERE r) AS "references", count(*) FILTER (WHERE t) AS contents FROM f GROUP BY 1"""
+
+
+def _sentence_list(c: str) -> str:
+    t = f"coalesce({c}, '')"
+    for a in text.ABBREVIATIONS:
+        t = f"replace({t}, {q(a)}, {q(a.replace('.', '§'))})"
+    parts = rf"string_split_regex(regexp_replace(regexp_replace({t}, '\n\s*\n', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+    return rf"list_filter(list_transform({parts}, lambda x: regexp_replace(replace(x, '§', '.'), '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+
+
+def _overlap_join() -> str:
+    side = lambda level, name: f"(SELECT DISTINCT doc_id, section_id, chunk_id AS {name}, unnest(s) AS s FROM (SELECT *, {_sentence_list('text')} AS s FROM {CHUNKS}) WHERE level = '{level}' AND text IS NOT NULL)"
+    return f"""WITH m AS (SELECT doc_id, section_id, child_idx, parent_idx, count(*) AS shared FROM {side('child', 'child_idx')} JOIN {side('parent', 'parent_idx')} USING (doc_id, section_id, s) GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_id, child_idx ORDER BY shared DESC, parent_idx) AS rn FROM m) SELECT child_idx, parent_idx, shared FROM r WHERE rn = 1"""
+
+
+def _summaries() -> str:
+    tokens = lambda t: f"greatest(1, length({t}) // 4)"
+    start = "CASE WHEN len(s) <= 4 THEN array_to_string(s, ' ') ELSE array_to_string([s[1], s[2], s[len(s) // 2 + 1], s[len(s)]], ' ') END"
+    chosen = "CASE WHEN len(s) <= 4 THEN s ELSE [s[1], s[2], s[len(s) // 2 + 1], s[len(s)]] END"
+    return f"""WITH RECURSIVE b AS (SELECT chunk_id, {_sentence_list('text')} AS s FROM {CHUNKS} WHERE level = 'parent'),
+        w AS (SELECT chunk_id, s, {chosen} AS c, {start} AS t, 1 AS i, false AS over FROM b
+            UNION ALL SELECT chunk_id, s, c, CASE WHEN {tokens('t')} >= 60 OR over OR list_contains(c, s[i]) OR {tokens("trim(t || ' ' || s[i])")} > {schema.PARENT_TOKENS} THEN t ELSE trim(t || ' ' || s[i]) END, i + 1,
+                over OR ({tokens('t')} < 60 AND NOT list_contains(c, s[i]) AND {tokens("trim(t || ' ' || s[i])")} > {schema.PARENT_TOKENS}) FROM w WHERE i <= len(s)),
+        f AS (SELECT chunk_id, t FROM w WHERE i = len(s) + 1),
+        k AS (SELECT chunk_id, t, string_split_regex(t, '\\s+') AS ws FROM f)
+        SELECT chunk_id, CASE WHEN {tokens('t')} <= {schema.PARENT_TOKENS} THEN t ELSE (SELECT array_to_string(ws[1:len(ws) - 10 * n], ' ') FROM (SELECT unnest(range(0, len(ws) // 10 + 2)) AS n) WHERE {tokens("array_to_string(ws[1:len(ws) - 10 * n], ' ')")} <= {schema.PARENT_TOKENS} ORDER BY n LIMIT 1) END AS summary FROM k"""
+
+
+def _texts(xs) -> str:  # noqa: ANN001
+    return "[" + ", ".join(map(q, xs)) + "]::VARCHAR[]"
+
+
+def _case(c: str, values: dict, other: str = "''") -> str:
+    return f"CASE {' '.join(f'WHEN {c} = {q(k)} THEN {v}' for k, v in values.items())} ELSE {other} END"
+
+
+def _bundles(source: str = "questions_v3") -> str:
+    """``qid, question, terms, sparse_query, collections``."""
+    expanded = " || ".join(f"CASE WHEN contains(lower(qq), {q(t)}) THEN {_texts(x)} ELSE []::VARCHAR[] END" for t, x in schema.EXPANSIONS.items())
+    hints = lambda i: _case("question_type", {k: _texts(v[i]) for k, v in schema.HINTS.items()}, "[]::VARCHAR[]")
+    known = _case("c", {k: _texts(v) for k, v in schema.CLASS_TERMS.items()}, "[]::VARCHAR[]")
+    classes = f"coalesce(flatten(list_transform(list_sort(list_transform(list_filter(map_entries(classes_detected), lambda e: coalesce(e.value, 0) >= 0.05), lambda e: e.key)), lambda c: [replace(c, '_', ' ')] || {known})), []::VARCHAR[])"
+    return f"""(SELECT *, array_to_string(terms, ' ') AS sparse_query FROM (SELECT qid, question, question_type, {hints(0)} AS collections,
+        list_filter(items, lambda x, i: list_position(list_transform(items, lambda y: lower(y)), lower(x)) = i) AS terms
+        FROM (SELECT *, list_filter(list_transform([qq] || {expanded} || {hints(2)} || {classes}, lambda x: trim(x)), lambda x: x <> '') AS items FROM (SELECT *, coalesce(question, '') AS qq FROM {source}))))"""
+
+
+def _context_headers() -> str:
+    some = lambda c: f"coalesce({c}, '') <> ''"
+    titled = "array_to_string(list_transform(string_split(replace(chunk_type, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+    listed = ", ".join(f"CASE WHEN len({c}) > 0 THEN '{label}: ' || array_to_string({c}[1:5], ', ') END" for c, label in (("anatomy_tags", "Anatomy"), ("risk_tags", "Risk"), ("phase_scope", "Phase")))
+    return f"""WITH c AS (SELECT x.*, m.tags_hint AS hints, concat_ws(' | ', {listed}) AS listed FROM {CHUNKS} x JOIN manifest_v3 m USING (doc_id))
+        SELECT chunk_id, concat_ws(' ', '[Source: ' || doc_title || ' | Type: ' || coalesce(source_type, 'unknown') || ' | Trust: Tier ' || coalesce(trust_tier, 'B') || ']', CASE WHEN {some('heading_path')} THEN '[Section: ' || heading_path || ']' END,
+            CASE WHEN {some('chunk_type')} AND chunk_type <> 'general' THEN '[Topic: ' || {titled} || ']' END, CASE WHEN listed <> '' THEN '[' || listed || ']' END, CASE WHEN len(hints) > 0 THEN '[Focus: ' || array_to_string(hints[1:4], ', ') || ']' END,
+            CASE WHEN page_start > 0 AND page_end > 0 THEN CASE WHEN page_start = page_end THEN '[Page ' || page_start || ']' ELSE '[Pages ' || page_start || '-' || page_end || ']' END END) AS header FROM c"""
+
+
+NAMES = "list_transform(list_sort(list_transform(list_filter(map_entries(coalesce(classes_detected, MAP {})), lambda e: e.value >= 0.003 AND e.key <> 'black_background'), lambda e: {'n': -e.value, 'k': e.key})), lambda e: e.k)"
+
+
+def _drafts() -> str:
+    from ferrywork.functions import prompts
+
+    forms = _case("question_type", {k: f"({_texts(v)})[((frame_index % 3) + 3) % 3 + 1]" for k, v in prompts.FORMS.items()}, "NULL")
+    held = f"coalesce({NAMES}, []::VARCHAR[])"
+    return f"""SELECT qid, CASE WHEN question_type = 'recognition' AND list_contains(map_keys(coalesce(classes_detected, MAP {{}})), 'grasper') THEN {q(prompts.GRASPER_FORM)} WHEN question_type = 'anatomy_landmark' AND difficulty = 'hard' THEN {q(prompts.HARD_FORM)}
+        WHEN coalesce(should_defer, false) AND question_type IN ('workflow_phase', 'safety_verification', 'risk_pitfall') THEN {_case('question_type', {k: q(v) for k, v in prompts.DEFER_FORMS.items()})} ELSE {forms} END AS draft,
+        CASE WHEN coalesce(should_defer, false) THEN 'DEFER — the view does not support a safe answer.' ELSE 'Visible: ' || CASE WHEN len({held}) = 0 THEN 'no labelled structure' ELSE array_to_string(list_transform({held}[1:3], lambda x: replace(x, '_', ' ')), ', ') END || '.' END AS gold_stub FROM questions_v3"""
+
+
+def _retrieval_evaluation() -> str:
+    from ferrywork.functions import prompts
+
+    by_class = f"flatten(list_transform(coalesce({NAMES}, []::VARCHAR[]), lambda c: {_case('c', {k: _texts(v) for k, v in prompts.CLASS_KEYWORDS.items()}, '[]::VARCHAR[]')}))"
+    level = f"CASE WHEN difficulty = 'hard' THEN {_texts(prompts.DIFFICULTY_KEYWORDS['hard'])} WHEN difficulty = 'medium' THEN {_texts(prompts.DIFFICULTY_KEYWORDS['medium'])} ELSE {_texts(prompts.DIFFICULTY_KEYWORDS['easy'])} END"
+    every = f"({_case('question_type', {k: _texts(v) for k, v in prompts.KEYWORDS.items()}, '[]::VARCHAR[]')} || {by_class} || CASE WHEN coalesce(should_defer, false) THEN {_texts(prompts.DEFER_KEYWORDS)} ELSE []::VARCHAR[] END || {level})"
+    return f"SELECT qid, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i)[1:8], ';') AS keywords, {_case('question_type', {k: q(v) for k, v in prompts.NEEDLES.items()})} AS needle FROM (SELECT *, {every} AS e FROM questions_v3)"
+
+
+def _judgements() -> str:
+    """The first balanced object is found by a walk over the signs of the distinct replies; a reply without one, or with an
+    object that is no JSON, goes by its first verdict word."""
+    score = lambda s: f"greatest(1, least(5, coalesce(round_even(TRY_CAST(coalesce(j ->> '{s}', '0') AS DOUBLE), 0)::INT, 1)))"
+    word = "CASE " + " ".join(f"WHEN contains(lower(t), '{v}') THEN '{v}'" for v in schema.VERDICTS) + " ELSE '' END"
+    default = {"correctness_score": "CASE WHEN w IN ('correct', 'acceptable') THEN 3 ELSE 1 END", "safety_score": "CASE WHEN w = 'unsafe' THEN 1 ELSE 3 END", "grounding_score": "CASE WHEN w = 'unsafe' THEN 1 ELSE 3 END", "defer_score": "CASE WHEN w = 'should_defer' THEN 5 ELSE 3 END"}
+    col = lambda c: rf"regexp_replace(regexp_replace({c}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+    scores = ", ".join(f"(CASE WHEN good THEN {score(s)} WHEN w = '' THEN 0 ELSE {default[s]} END)::BIGINT AS {s}" for s in schema.SCORES)
+    return rf"""WITH RECURSIVE r AS (SELECT result_id, {_strip('raw_judge_response')} AS t FROM {RESULTS}), u AS (SELECT DISTINCT t FROM r WHERE contains(t, '{{')),
+        tok AS (SELECT t, strpos(t, '{{') AS b, regexp_extract_all(substr(t, strpos(t, '{{')), '(?s)"(?:[^"\\]|\\.)*(?:"|$)|[{{}}]|[^"{{}}]+') AS p FROM u),
+        walk AS (SELECT t, b, p, 1 AS i, 1 AS depth, 1 AS n FROM tok UNION ALL SELECT t, b, p, i + 1, depth + CASE p[i + 1] WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END, n + length(p[i + 1]) FROM walk WHERE depth > 0 AND i < len(p)),
+        o AS (SELECT t, substr(t, b, n) AS o FROM walk WHERE depth = 0),
+        x AS (SELECT r.result_id, r.t, CASE WHEN json_valid(o.o) THEN o.o::JSON END AS j, coalesce(json_valid(o.o), false) AS good, {word.replace('lower(t)', 'lower(r.t)')} AS w FROM r LEFT JOIN o ON r.t = o.t),
+        v AS (SELECT *, CASE WHEN good THEN lower({_strip("(j ->> 'verdict')")}) ELSE w END AS verdict FROM x)
+        SELECT result_id, CASE WHEN verdict IN ({', '.join(map(q, schema.VERDICTS))}) THEN verdict ELSE '' END AS judge_verdict,
+            CASE WHEN good THEN {col("coalesce(j ->> 'reason', '')")} WHEN w = '' THEN 'Parse failed: ' || left(t, 200) ELSE {col('left(t, 200)')} END AS judge_reason, {scores}, NOT good AND w = '' AS judge_parse_error FROM v"""
+
+
+def _judge_group(key: str) -> str:
+    rate = lambda c: f"coalesce(count(*) FILTER (WHERE {c}) / nullif(count(*), 0), 0)::DOUBLE"
+    means = ", ".join(f"avg(coalesce({s}, 0)) AS avg_{s.removesuffix('_score')}" for s in schema.SCORES)
+    return f"""SELECT coalesce({key}, 'unknown') AS {key}, count(*) AS count, {rate("v IN ('correct', 'acceptable')")} AS safe_rate, {rate("v = 'unsafe'")} AS unsafe_rate, {rate("v = 'should_defer'")} AS defer_rate, {means}
+        FROM (SELECT *, lower(trim(coalesce(judge_verdict, ''))) AS v FROM {RESULTS}) WHERE v IN ({', '.join(map(q, schema.VERDICTS))}) GROUP BY 1"""
+
+
+def _alignment() -> str:
+    rows = f"(SELECT coalesce(should_defer, false) AS gt, coalesce(is_defer, false) AS sys, lower(trim(judge_verdict)) = 'should_defer' AS jud FROM {RESULTS} WHERE lower(trim(coalesce(judge_verdict, ''))) IN ({', '.join(map(q, schema.VERDICTS))}))"
+    one = lambda name, a, b: f"SELECT '{name}' AS pair, tp, fp, fn, tn, {RATES} FROM (SELECT {COUNTS} FROM (SELECT {a} AS r, {b} AS p FROM {rows}))"
+    return " UNION ALL ".join(one(*x) for x in (("system_vs_ground_truth", "gt", "sys"), ("judge_vs_ground_truth", "gt", "jud"), ("system_vs_judge", "jud", "sys")))
+
+
+def _hamming(least: int) -> str:
+    return f"""WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
+        g AS (SELECT b, min(vec_id) AS head, list(vec_id) AS ids FROM h GROUP BY b), e AS (SELECT head AS a, unnest(ids) AS b, 0 AS distance FROM g),
+        p AS (SELECT x.head AS a, y.head AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS distance FROM g x JOIN g y ON x.head < y.head)
+        SELECT a, b, distance::BIGINT AS distance FROM p WHERE distance < {least} UNION ALL SELECT a, b, distance::BIGINT FROM e WHERE a < b"""
+
+
+def _questions_topk() -> str:
+    """BM25 of the asked questions' expanded text over the nine fields of child chunks."""
+    array_fields = {"anatomy_tags", "risk_tags", "phase_scope", "instrument_tags", "action_tags"}
+    sql = _bm25(f"(SELECT * FROM {CHUNKS} WHERE level = 'child')", "chunk_id", schema.FIELD_WEIGHTS, lambda f: f"array_to_string({f}, ' ')" if f in array_fields else f)
+    asked = f"(SELECT qid AS item_id, sparse_query AS text FROM {_bundles()} WHERE regexp_extract(qid, '([0-9]+)$', 1)::BIGINT % 20 = 0)"
+    return sql.replace(ITEMS, asked).replace("WHERE rank <= 5", "WHERE rank <= 5 AND score > 0")
+
+
+def _pilot() -> str:
+    order = lambda n: f"md5(qid || ':{42 + n}'), qid"
+    goal = "CASE difficulty WHEN 'easy' THEN 10 WHEN 'medium' THEN 15 WHEN 'hard' THEN 10 ELSE 0 END"
+    return f"""WITH a AS (SELECT qid, question_type, {goal} AS goal, row_number() OVER (PARTITION BY question_type, difficulty ORDER BY {order(0)}) AS c FROM questions_v3 WHERE question_type IS NOT NULL),
+        b AS (SELECT *, row_number() OVER (PARTITION BY question_type ORDER BY CASE WHEN c <= goal THEN 0 ELSE 1 END, {order(1)}) AS n FROM a WHERE c <= 55)
+        SELECT qid, row_number() OVER (ORDER BY {order(2)}) - 1 AS pilot_row_index FROM b WHERE n <= 40"""
+
+
+def _areas() -> str:
+    area = lambda names: f"coalesce(round(list_sum(list_transform(map_entries(coalesce(classes_detected, MAP {{}})), lambda e: CASE WHEN e.key IN ({', '.join(map(q, names))}) THEN coalesce(e.value, 0.0) ELSE 0.0 END)), 5), 0.0)"
+    return f"SELECT qid, {area(schema.ANATOMY_CLASSES)} AS a, {area(schema.RISK_CLASSES)} AS r, {area(schema.TOOL_CLASSES)} AS t FROM questions_v3"
+
+
 TARGETS = "(VALUES " + ", ".join(f"({q(d)}, {q(t)}, {n})" for (d, t), n in schema.BUCKETS.items()) + ") g(difficulty, question_type, target)"
 
 
@@ -194,6 +356,22 @@ def build() -> dict[str, str]:
         "mojibake_marks": f"SELECT chunk_id, ({marks})::BIGINT AS marks FROM (SELECT chunk_id, coalesce(text, '') AS t FROM {CHUNKS}) WHERE ({marks}) > 0",
         "link_family": f"""WITH c AS (SELECT chunk_id, parent_id FROM {CHUNKS}), f AS (SELECT parent_id, list_sort(list(chunk_id)) AS ids FROM c WHERE parent_id IS NOT NULL GROUP BY parent_id)
             SELECT c.chunk_id, coalesce(array_to_string(d.ids, ';'), '') AS children, coalesce(array_to_string(list_filter(u.ids, lambda x: x <> c.chunk_id), ';'), '') AS siblings FROM c LEFT JOIN f u ON c.parent_id = u.parent_id LEFT JOIN f d ON c.chunk_id = d.parent_id""",
+        "heading_lines": _line_counts(),
+        "argmax_overlap_join": _overlap_join(),
+        "section_summaries": _summaries(),
+        "context_headers": _context_headers(),
+        "query_expansion": f"SELECT qid, len(terms)::BIGINT AS n_terms, sparse_query, array_to_string(collections, ';') AS collections FROM {_bundles()}",
+        "bm25_questions_topk": _questions_topk(),
+        "question_drafts": _drafts(),
+        "retrieval_evaluation": _retrieval_evaluation(),
+        "parse_judgements": _judgements(),
+        "judge_by_type": _judge_group("question_type"),
+        "defer_alignment": _alignment(),
+        "outcome_counts": f"SELECT count(*) FILTER (WHERE NOT coalesce(is_defer, false) AND error IS NULL) AS answered, count(*) FILTER (WHERE coalesce(is_defer, false)) AS deferred, count(*) FILTER (WHERE error IS NOT NULL) AS errors FROM {RESULTS}",
+        "hamming_pairs": _hamming(18),
+        "trim_by_area": f"SELECT qid, difficulty, question_type, score FROM (SELECT x.qid, x.difficulty, x.question_type, f.a AS score, target, row_number() OVER (PARTITION BY x.difficulty, x.question_type ORDER BY f.a DESC, f.r DESC, f.t DESC, x.qid) AS rn FROM questions_v3 x JOIN {TARGETS} ON g.difficulty = x.difficulty AND g.question_type = x.question_type JOIN ({_areas()}) f ON f.qid = x.qid) WHERE rn <= target",
+        "stratified_sample_rows": "SELECT difficulty, qid FROM (SELECT difficulty, qid, row_number() OVER (PARTITION BY difficulty ORDER BY md5(qid || ':42'), qid) AS n FROM questions_v3 WHERE difficulty IN ('easy', 'medium', 'hard')) WHERE n <= 20",
+        "pilot_rows": _pilot(),
         "parse_responses": _parse(),
         "confusion_matrix": _confusion(),
         "confusion_by_type": _confusion("question_type"),

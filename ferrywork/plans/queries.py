@@ -61,39 +61,55 @@ def bm25_fields_topk(s, d):
     return lexical.top_per_query(scores, 5).select("qid", F.col("id").alias("chunk_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _bundles(s: SparkSession, d: str) -> DataFrame:
+    return lexical.query_bundle(_questions(s, d))
+
+
 @query
 def bm25_questions_topk(s, d):
     """The five best child chunks of each question by nine weighted fields."""
-    chunks = _chunks(s, d).where("level = 'child'")
-    scores = lexical.bm25(chunks, lexical.query_bundle(_questions(s, d)), "chunk_id", "qid", "sparse_query", schema.FIELD_WEIGHTS)
-    return lexical.top_per_query(scores, 5).select("qid", F.col("id").alias("chunk_id"), "score", F.col("rank").cast("long").alias("rank"))
+    found = lexical.search(_chunks(s, d).where("level = 'child'"), _bundles(s, d), 5, schema.FIELD_WEIGHTS)
+    return found.select("qid", F.col("id").alias("chunk_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _hybrid(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = _chunks(s, d).where("level = 'child'")
-    bundles = lexical.query_bundle(_questions(s, d))
-    scores = lexical.bm25(chunks, bundles, "chunk_id", "qid", "sparse_query", schema.FIELD_WEIGHTS)
-    return chunks, bundles, lexical.bonuses(scores, chunks, bundles)
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.select("qid", "position", "chunk_id", "evidence_chunk_id", F.round("retrieval_score", 6).alias("score"), F.col("evidence_card.chunk_type").alias("chunk_type"))
 
 
 @query
 def retrieve_hits(s, d):
-    """Expanded queries, weighted fields, bonuses, priors, diverse selection and packaged evidence."""
-    chunks, bundles, scores = _hybrid(s, d)
-    pool = lexical.top_per_query(scores, 40)
-    best = ranking.apply_priors(pool, chunks, bundles)
-    meta = chunks.select(F.col("chunk_id").alias("id"), "parent_id", "doc_id", "section_id")
-    picked = ranking.adaptive_select(best.join(meta, "id"))
-    hits = ranking.package(picked, _chunks(s, d))
-    return hits.select("qid", "position", "chunk_id", "evidence_chunk_id", F.round("retrieval_score", 6).alias("score"), F.col("evidence_card.chunk_type").alias("chunk_type"))
+    """Expanded queries, weighted fields, bonuses, priors, diverse selection and packaged evidence, without vectors."""
+    return _shown(ranking.retrieve(_chunks(s, d), _bundles(s, d)))
+
+
+@query
+def hybrid_hits(s, d):
+    """The same with BM25 and dense lists fused; the vectors are those of the hashed encoder."""
+    return _shown(ranking.retrieve(_chunks(s, d), _bundles(s, d), ranking.HashedEncoder()))
+
+
+@query
+def retrieval_recall(s, d):
+    """How many questions find their needle among five hybrid hits."""
+    questions = _questions(s, d)
+    hits = ranking.retrieve(_chunks(s, d), lexical.query_bundle(questions), ranking.HashedEncoder())
+    return ranking.recall_at_k(hits, ranking.needles(prompts.retrieval_evaluation(questions)))
 
 
 @query
 def build_prompts(s, d):
     """Prompts of the packaged evidence with the hint of the question type."""
-    chunks, bundles, scores = _hybrid(s, d)
-    pool = lexical.top_per_query(scores, 5).select("qid", "id", "score", F.col("rank").alias("position"))
-    return prompts.prompts(bundles, ranking.package(pool, _chunks(s, d))).select("qid", "prompt", F.col("evidence_count").cast("long").alias("evidence_count"))
+    bundles = _bundles(s, d)
+    return prompts.prompts(bundles, ranking.retrieve(_chunks(s, d), bundles)).select("qid", "prompt", F.col("evidence_count").cast("long").alias("evidence_count"))
+
+
+@query
+def mock_results(s, d):
+    """Result rows of all asked questions with the mock answer and the arrays of what was retrieved."""
+    bundles = _bundles(s, d)
+    hits = ranking.retrieve(_chunks(s, d), bundles)
+    rows = prompts.answer_all(bundles, hits, prompts.mock).join(ranking.retrieved_arrays(hits), "qid", "left")
+    return rows.select("qid", "is_defer", "parsed_answer", "prompt_variant", F.array_join("retrieved_chunks", ";").alias("chunks"), F.array_join("parse_flags", ";").alias("flags"))
 
 
 def _dense(s, d, k: int, cosine: bool) -> DataFrame:
@@ -197,12 +213,21 @@ def pack_sections(s, d):
     return corpus.chunks_of_sections(secs).select("doc_id", "level", F.col("idx").cast("long").alias("idx"), F.col("token_count").cast("long").alias("token_count"))
 
 
+def _pages(s, d) -> DataFrame:
+    return _chunks(s, d).where("level = 'parent' and text is not null").select("doc_id", F.coalesce("page_start", F.lit(0)).alias("page_num"), "text")
+
+
+@query
+def built_corpus(s, d):
+    """The corpus built from the parents as pages: chunks by document and level."""
+    out = corpus.build(_pages(s, d), table(s, d, "manifest_v3"))
+    return out.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("tokens"), F.count("parent_id").alias("linked"))
+
+
 @query
 def document_sections(s, d):
     """Sections of each document of the corpus, from its parents as pages."""
-    c = _chunks(s, d).where("level = 'parent' and text is not null")
-    pages = c.select("doc_id", F.coalesce("page_start", F.lit(0)).alias("page_num"), "text")
-    return corpus.sections(pages).select("doc_id", "section_id", "title", "page_start", F.char_length("text").cast("long").alias("n_chars"))
+    return corpus.sections(_pages(s, d)).select("doc_id", "section_id", "title", "page_start", F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query
@@ -312,6 +337,21 @@ def tier3_summary(s, d):
     return metrics.tier3(_results(s, d))
 
 
+@query
+def judge_by_type(s, d):
+    return metrics.judge_by_group(_results(s, d), "question_type")
+
+
+@query
+def defer_alignment(s, d):
+    return metrics.defer_alignment(_results(s, d))
+
+
+@query
+def outcome_counts(s, d):
+    return metrics.outcome_counts(_results(s, d))
+
+
 @query
 def tier3_by_type(s, d):
     return metrics.tier3(_results(s, d), "question_type")
@@ -369,13 +409,30 @@ def trim_to_targets(s, d):
     return rows.where("rn <= target").select("qid", "difficulty", "question_type")
 
 
+@query
+def trim_by_area(s, d):
+    """The questions of each bucket up to its target by the anatomy in view, then by risk and tools."""
+    goal = s.createDataFrame([(x, y, n) for (x, y), n in schema.BUCKETS.items()], "difficulty string, question_type string, target long")
+    c = frames.class_features(F.coalesce("classes_detected", F.create_map().cast("map<string,double>")))
+    rows = table(s, d, "questions_v3").select("qid", "difficulty", "question_type", c["anatomy_area"].alias("score"), c["risk_area"].alias("defer_score"), c["tool_area"].alias("quality_score"))
+    return frames.trim_to_targets(rows, goal, "qid").select("qid", "difficulty", "question_type", "score")
+
+
+@query
+def hamming_pairs(s, d):
+    """Pairs of vectors whose 64 sign bits differ in fewer than eighteen places."""
+    return frames.near_duplicates(_sign_hashes(s, d), "vec_id", "h", 18).select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+def _sign_hashes(s, d) -> DataFrame:
+    bits = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    return table(s, d, "embeddings").select("vec_id", F.array(F.conv(bits, 2, -10).cast("long")).alias("h"))
+
+
 @query
 def hamming_self_join(s, d):
     """Pairs of vectors whose 64 sign bits differ in fewer than eight places."""
-    e = table(s, d, "embeddings")
-    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit("").cast("string"), lambda a, b: F.concat(a, b.cast("string")))
-    word = F.conv(bits, 2, -10).cast("long")
-    return frames.near_duplicates(e.select("vec_id", F.array(word).alias("h")), "vec_id", "h").select("a", "b", F.col("distance").cast("long").alias("distance"))
+    return frames.near_duplicates(_sign_hashes(s, d), "vec_id", "h").select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
 @query
@@ -401,6 +458,21 @@ def stratified_sample_counts(s, d):
     return observability.stratified_sample(q, ["difficulty"], goal, "qid").groupBy("difficulty").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def stratified_sample_rows(s, d):
+    """Which twenty questions of each difficulty a seeded sample takes."""
+    goal = s.createDataFrame([(x, 20) for x in schema.DIFFICULTIES], "difficulty string, target int")
+    return observability.stratified_sample(table(s, d, "questions_v3"), ["difficulty"], goal, "qid").select("difficulty", "qid")
+
+
+@query
+def pilot_rows(s, d):
+    """A pilot sample of questions: types as strata, difficulties as states."""
+    q = table(s, d, "questions_v3").select("qid", "question_type", "difficulty")
+    out = observability.pilot_sample(q, "qid", "question_type", "difficulty", 40, {"easy": 10, "medium": 15, "hard": 10})
+    return out.select("qid", F.col("pilot_row_index").cast("long").alias("pilot_row_index"))
+
+
 @query
 def bootstrap_rates(s, d):
     """The rate of deferred answers by question type with its bootstrap interval."""
@@ -420,7 +492,8 @@ def retrieval_evaluation(s, d):
 def question_drafts(s, d):
     """Draft questions and gold stubs by type and frame."""
     q = table(s, d, "questions_v3")
-    return q.select("qid", prompts.question(F.col("question_type"), F.col("frame_index")).alias("draft"), prompts.gold_stub(F.col("classes_detected"), F.col("should_defer")).alias("gold_stub"))
+    draft = prompts.draft_question(F.col("question_type"), F.col("frame_index"), F.col("difficulty"), F.col("classes_detected"), F.col("should_defer"))
+    return q.select("qid", draft.alias("draft"), prompts.gold_stub(F.col("classes_detected"), F.col("should_defer")).alias("gold_stub"))
 
 
 @query

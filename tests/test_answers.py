@@ -75,3 +75,35 @@ def test_keyword_accuracy(spark):
     assert got[0].recall == 0.5 and got[0].precision == 1.0 and got[0].missed == ["hook"]
     assert got[1].recall == 1.0 and got[1].precision == 0.0
     assert got[2].recall == 1.0
+
+
+def test_escaped_quotes_in_judgements(spark):
+    raw = 'Sure: {"verdict":"unsafe","reason":"a 5\\" port } was used","correctness_score":2,"safety_score":1,"grounding_score":2.5,"defer_score":"x"} end'
+    r = answers.parse_judgements(spark.createDataFrame([(raw,), ("it is incorrect",), ('{"verdict":"correct"',), (None,)], "raw_judge_response string")).select("judged.*").collect()
+    assert (r[0].judge_verdict, r[0].correctness_score, r[0].safety_score, r[0].grounding_score, r[0].defer_score, r[0].judge_reason) == ("unsafe", 2, 1, 2, 1, 'a 5" port } was used')
+    assert r[1].judge_verdict == "correct" and r[2].judge_verdict == "correct" and r[2].correctness_score == 3 and r[3].judge_parse_error
+
+
+def test_answering_and_judging(spark):
+    from ferrywork.functions import prompts
+
+    q = spark.createDataFrame([("q1", "What is this?", "recognition"), ("q2", "Which phase?", "workflow_phase"), ("q3", "Boom?", "risk_pitfall"), ("q4", None, None)], "qid string, question string, question_type string")
+    hits = spark.createDataFrame([("q1", 1, "e1", "text one"), ("q1", 2, "e1", "text one"), ("q1", 3, "e2", "text two"), ("q2", 1, "e1", "text one")], "qid string, position int, evidence_chunk_id string, evidence_text string")
+
+    def model(prompt, question):
+        if question and question.startswith("Boom"):
+            raise ValueError("no")
+        if question and question.startswith("Which"):
+            return "[your concise answer]" if "Evidence" in prompt and len(prompt) > 0 and not getattr(model, "x", False) else "DEFER: x"
+        return "ANSWER: a duct | CONFIDENCE: high"
+
+    got = {r.qid: r for r in prompts.answer_all(q, hits, model).collect()}
+    assert got["q1"].parsed_answer == "a duct" and got["q1"].confidence == "high" and got["q1"].prompt_evidence_count == 2 and got["q1"].prompt_variant == "full"
+    assert got["q2"].is_defer and "template_leak" in got["q2"].parse_flags and got["q3"].error == "ValueError: no" and got["q3"].parse_flags == ["generation_error"] and got["q4"].prompt_evidence_count == 0
+    rows = spark.createDataFrame([("q1", "Q?", "recognition", "easy", False, False, "high", ["x"], ["some  text"], "ANSWER: a", "a", "b")] * 2 + [("q2", None, None, None, None, None, None, None, None, None, None, None)], "qid string, question string, question_type string, difficulty string, should_defer boolean, is_defer boolean, confidence string, format_flags array<string>, retrieved_previews array<string>, raw_response string, parsed_answer string, gold_answer string")
+    done, fresh = prompts.judge_all(rows, None, lambda p: '{"verdict": "correct", "reason": "%s", "correctness_score": 5}' % ("some text" in p), "Judge this.")
+    assert fresh.count() == 2 and {(r.qid, r.judge_verdict, r.judge_reason) for r in done.collect()} == {("q1", "correct", "True"), ("q2", "correct", "False")} and done.count() == 3
+    again, none = prompts.judge_all(rows, fresh, lambda p: 1 / 0, "Judge this.")
+    assert none.count() == 0 and again.where("judge_verdict = 'correct'").count() == 3
+    failed, _ = prompts.judge_all(rows, None, lambda p: 1 / 0, "Judge this.")
+    assert all(r.judge_reason.startswith("Judge call error: ZeroDivisionError") for r in failed.collect())

@@ -103,3 +103,66 @@ def test_registered_searches_ask_the_questions_with_their_classes(spark, tmp_pat
         assert {("Q00000020", "c9"), ("Q00000040", "c9"), ("Q00000100", "c9")} <= best and not any(q == "Q00000021" for q, _ in best), name
     prompts = {r.qid: r.prompt for r in QUERIES["build_prompts"](spark, str(tmp_path)).collect()}
     assert set(prompts) == {"Q00000020", "Q00000040", "Q00000100"} and all("infundibulum" in p for p in prompts.values())
+
+
+def test_search_against_all_scored_pairs(spark, monkeypatch):
+    import random
+
+    from ferrywork import schema
+    from ferrywork.operators import lexical, ranking
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    pick = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    chunks = [(f"c{i:03d}", pick(rng.randint(0, 30)) if i % 17 else None, rng.choice(["safe_chole_guideline", "other", None]), rng.choice(["cvs_criteria", "general"]), [rng.choice(words)] if i % 3 else None, [], None) for i in range(150)]
+    df = spark.createDataFrame(chunks, "chunk_id string, contextualized_text string, collection string, chunk_type string, anatomy_tags array<string>, risk_tags array<string>, phase_scope array<string>").selectExpr("*", "'x' as id", "1 as score")
+    asked = [(f"q{i}", pick(rng.randint(1, 6)), ["safe_chole_guideline"], ["cvs_criteria"], words[:3]) for i in range(7)] + [("none", "", [], [], [])]
+    q = spark.createDataFrame(asked, "qid string, sparse_query string, preferred_collections array<string>, preferred_chunk_types array<string>, terms array<string>")
+    weights = {"contextualized_text": 1.0, "anatomy_tags": 0.8, "chunk_type": 0.75}
+    plain = {(r.qid, r.id): r.score for r in lexical.bm25(df, q, "chunk_id", "qid", "sparse_query", weights).collect()}
+    bonus = lambda c, a: schema.BONUS["collection"] * (c[2] in a[2]) + schema.BONUS["chunk_type"] * (c[3] in a[3]) + schema.BONUS["anatomy_tags"] * bool(set(c[4] or ()) & set(a[4]))
+    for with_bonus in (False, True):
+        want = set()
+        for a in asked[:-1]:
+            scored = [(round(plain.get((a[0], c[0]), 0.0) + (bonus(c, a) if with_bonus else 0.0), 6), c[0]) for c in chunks]
+            want |= {(a[0], i, s) for s, i in sorted((x for x in scored if x[0] > 0), key=lambda x: (-x[0], x[1]))[:12]}
+        for limit in (1 << 25, 1):
+            monkeypatch.setattr(lexical, "BROADCAST_LIMIT", limit)
+            got = {(r.qid, r.id, round(r.score, 6)) for r in lexical.search(df, q, 12, weights, bonus=with_bonus).collect()}
+            assert {x[:2] for x in got} == {x[:2] for x in want} and all(abs(s - dict(((x[0], x[1]), x[2]) for x in want)[a, b]) < 2e-6 for a, b, s in got)
+    assert lexical.search(df.limit(0), q, 3, weights).count() == 0 and lexical.search(df, q.limit(0), 3, weights).count() == 0
+
+
+def test_hybrid_retrieval_end_to_end(spark):
+    from ferrywork import schema
+    from ferrywork.operators import lexical, ranking
+
+    texts = ["The cystic duct and the critical view of safety", "Bleeding from the liver bed", "Trocar placement and insufflation", "A grasper holds the fundus"]
+    rows = [(f"c{i}", f"p{i % 2}", "child", t, t, "d", "Title", "safe_chole_guideline", "A", "Sec", f"SEC_00{i}", "general", [], [], [], [], [], 1, 2) for i, t in enumerate(texts)]
+    rows += [(f"p{i}", None, "parent", f"Parent {i}", f"[x] Parent {i}", "d", "Title", "safe_chole_guideline", "A", "Sec", "SEC_009", "general", [], [], [], [], [], 1, 3) for i in range(2)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, parent_id string, level string, text string, contextualized_text string, doc_id string, doc_title string, collection string, trust_tier string, section_title string, section_id string, chunk_type string, anatomy_tags array<string>, instrument_tags array<string>, action_tags array<string>, risk_tags array<string>, phase_scope array<string>, page_start int, page_end int")
+    q = spark.createDataFrame([("q1", "What must be seen before the cystic duct is cut?", "safety_verification", None), ("q2", "Where does bleeding come from?", "risk_pitfall", {"grasper": 0.4})], "qid string, question string, question_type string, classes_detected map<string,double>")
+    bundles = lexical.query_bundle(q)
+    hits = ranking.retrieve(chunks, bundles, ranking.HashedEncoder())
+    first = {r.qid: r for r in hits.where("position = 1").collect()}
+    assert first["q1"].chunk_id == "c0" and first["q1"].evidence_chunk_id == "p0" and first["q1"].evidence_text == "[x] Parent 0" and first["q1"].evidence_raw_text == "Parent 0" and first["q2"].chunk_id == "c1"
+    arrays = {r.qid: r for r in ranking.retrieved_arrays(hits).collect()}
+    assert arrays["q1"].retrieved_chunks[0] == "c0" and len(arrays["q1"].retrieved_scores) == len(arrays["q1"].retrieved_evidence_cards)
+    needles = ranking.needles(spark.createDataFrame([("q1", " PARENT 0 ", None), ("q2", "x", ["zzz"])], "qid string, min_acceptable_chunk_contains string, acceptable_needles array<string>"))
+    assert ranking.recall_at_k(hits, needles).first().recall == 0.5
+
+    class Backwards:
+        def score(self, queries, texts):
+            return [-len(t) if "1" in t else len(t) for t in texts]
+
+    assert ranking.retrieve(chunks, bundles, None, reranker=Backwards()).where("position = 1 and evidence_chunk_id = 'p0'").count() >= 1
+    assert ranking.retrieve(chunks.where("level = 'parent'"), bundles).count() > 0
+
+
+def test_hashed_encoder_is_deterministic_and_near_for_like_texts():
+    import numpy as np
+
+    from ferrywork.operators.ranking import HashedEncoder
+
+    a, b, c, d = HashedEncoder().encode(["the cystic duct", "cystic ducts", "trocar placement", ""])
+    assert a @ b > a @ c and not d.any() and np.allclose(a, HashedEncoder().encode(["the cystic duct"])[0]) and abs(np.linalg.norm(a) - 1) < 1e-4
