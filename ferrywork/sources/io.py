@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
 
@@ -28,6 +29,17 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def read_first(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """The JSON list at the first of the paths that exists: full results, else those of a mock run."""
+    for path in paths:
+        try:
+            return read_json_array(spark, path, schema)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"none of {paths}")
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
 
@@ -213,6 +225,15 @@ def config(spark: SparkSession, prefix: str = "spark.ferrywork.", **defaults: ob
     return out
 
 
+def enabled_models(settings: dict, only: str | None = None) -> list[dict]:
+    """The models that a configuration enables, or the one with the id ``only``, enabled or not; an unknown id is an error."""
+    models = settings.get("vqa", {}).get("models", [])
+    chosen = [m for m in models if m["id"] == only] if only else [m for m in models if m.get("enabled", False)]
+    if only and not chosen:
+        raise ValueError(f"unknown model {only}")
+    return chosen
+
+
 def read_yaml(path: str) -> dict:
     """A YAML configuration; needs the package ``yaml``."""
     try:

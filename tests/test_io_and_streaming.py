@@ -102,4 +102,10 @@ def test_frame_paths_configuration_and_lists(spark, tmp_path, monkeypatch):
     assert io.config(spark, top_k=5, use_reranker=False, alpha=0.6) == {"top_k": 9, "use_reranker": False, "alpha": 0.6}
     io.write_json_array(spark.createDataFrame([(1, "é"), (2, None)], "a int, b string"), str(tmp_path / "x.json"))
     assert json.loads((tmp_path / "x.json").read_text()) == [{"a": 1, "b": "é"}, {"a": 2}]
+    types = "a int, b string"
+    from pyspark.sql.types import _parse_datatype_string
+
+    assert io.read_first(spark, [str(tmp_path / "none.json"), str(tmp_path / "x.json")], _parse_datatype_string(types)).count() == 2
+    models = {"vqa": {"models": [{"id": "a", "enabled": True}, {"id": "b"}]}}
+    assert [m["id"] for m in io.enabled_models(models)] == ["a"] and io.enabled_models(models, "b") == [{"id": "b"}]
     assert "| a | b |" in io.markdown_report("T", {"P": spark.createDataFrame([(1, "x")], "a int, b string")}, {"n": 1})
