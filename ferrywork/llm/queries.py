@@ -70,4 +70,29 @@ ORACLES: dict[str, str] = {
         SELECT chunk_id, CASE WHEN by_paragraph THEN 'paragraph' WHEN by_sentence THEN 'sentence' ELSE 'none' END AS cut_kind
         FROM p JOIN s USING (chunk_id)
     """,
+    # boundaries from the runs of white space of each text, then one walk a text from cut to cut
+    "p5_pieces": r"""
+        WITH RECURSIVE c AS (
+            SELECT chunk_id, text, CASE WHEN level = 'parent' THEN 800 ELSE 250 END AS lim, CASE WHEN level = 'parent' THEN 80 ELSE 30 END AS lap
+            FROM (SELECT DISTINCT ON (chunk_id) * FROM chunks_v3) WHERE text IS NOT NULL
+        ), o AS (SELECT *, length(text) AS n, lim * 4 + 3 AS longest, lap * 4 AS shared FROM c WHERE length(text) // 4 > lim),
+        g AS (SELECT chunk_id, n, regexp_extract_all(text, '[^\s]*\s+') AS parts FROM o),
+        u AS (SELECT chunk_id, n, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i, unnest(list_transform(range(0, len(parts)), lambda k: coalesce(list_sum(list_transform(parts[1:k], lambda x: length(x))), 0)::BIGINT)) AS off FROM g),
+        r AS (SELECT *, regexp_extract(part, '^([^\s]*)', 1) AS word, regexp_extract(part, '(\s+)$', 1) AS gap FROM u),
+        b AS (
+            SELECT chunk_id, off + length(part) AS pos, CASE WHEN length(gap) - length(replace(gap, chr(10), '')) >= 2 THEN 4 WHEN regexp_matches(word, '[.!?]$') OR gap[-1] = chr(10) THEN 3 WHEN regexp_matches(word, '[,;:]$') THEN 2 ELSE 1 END AS strength FROM r
+            UNION ALL SELECT chunk_id, off + length(word) + k, 3 FROM (SELECT *, unnest(list_filter(range(1, length(gap) + 1), lambda j: gap[j] = chr(10))) AS k FROM r)
+            UNION ALL SELECT chunk_id, off + 1, 2 FROM r WHERE word IN ('–', '—') AND off > 0
+        ), s AS (SELECT chunk_id, pos, max(strength) AS strength FROM b GROUP BY ALL),
+        k AS (SELECT chunk_id, list({'p': pos, 's': strength} ORDER BY strength DESC, pos DESC) AS cuts FROM s WHERE pos > 0 GROUP BY chunk_id),
+        w AS (
+            SELECT o.chunk_id, n, longest, shared, cuts, 0::BIGINT AS start, CASE WHEN n <= longest THEN n ELSE NULL END AS stop, 0 AS piece FROM o LEFT JOIN k USING (chunk_id)
+            UNION ALL
+            SELECT chunk_id, n, longest, shared, cuts, CASE WHEN stop IS NULL THEN start ELSE stop - shared END, CASE WHEN stop IS NOT NULL THEN CASE WHEN n - (stop - shared) <= longest THEN n END
+                ELSE coalesce(list_filter(cuts, lambda x: x.p >= start + greatest(longest // 2, shared + 1) AND x.p <= start + longest)[1].p, list_filter(cuts, lambda x: x.p >= start + shared + 1 AND x.p <= start + longest)[1].p, start + longest) END,
+                CASE WHEN stop IS NULL THEN piece ELSE piece + 1 END
+            FROM w WHERE stop IS NULL OR stop < n
+        )
+        SELECT chunk_id, count(*) AS n_pieces, max((stop - start) // 4)::BIGINT AS longest FROM w WHERE stop IS NOT NULL GROUP BY chunk_id
+    """,
 }
