@@ -49,8 +49,8 @@ def _results(s: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_topk(s, d):
     """The five best documents of each held-out item by single-field BM25."""
-    scores = lexical.bm25(table(s, d, "documents"), _items(s, d), "doc_id", "item_id", "text", {"text": 1.0})
-    return lexical.top_per_query(scores, 5).select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+    found = lexical.search(table(s, d, "documents"), _items(s, d), 5, {"text": 1.0}, "doc_id", "item_id", "text")
+    return found.select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query
