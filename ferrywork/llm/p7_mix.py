@@ -3,8 +3,10 @@
 Each source's share of the total is cut into blocks of equal size. Pfair scheduling gives block i of a source of weight
 w the release floor((i - 1) / w) and the deadline ceil(i / w); earliest deadline first (ties as in PD2: successor bit,
 then group deadline) then places one block a slot, so that at any slot no source is a whole block away from its share.
+Only what has a slot is in the mixture, and the report is taken from the mixture in the order of its slots.
 
-The number of slots is a parameter, so the schedule is small whatever the corpus. Documents reach their slots by
+The number of slots is a parameter (a last block that is not full takes one besides, so there is at most one more for
+each source), so the schedule is small whatever the corpus. Documents reach their slots by
 running sums of their sizes within a source: first over hashed groups of documents (one row a group), then within each
 group, so no source is ever gathered in one task. The driver receives one total per listed source.
 """
@@ -52,18 +54,21 @@ def token_sizes(documents: DataFrame, doc_id: str = "doc_id", text_col: str = "t
     return rows.mapInPandas(_sizes(shared), "id long, source string, size long")
 
 
-def pfair(weights: dict[str, Fraction], slots: int) -> list[str]:
+def pfair(weights: dict[str, Fraction], slots: int, blocks: dict[str, int] | None = None) -> list[str]:
     """The source of each slot; weights sum to at most 1, ties fall to the alphabetically first name.
 
+    With ``blocks`` each source gets just so many slots, and the schedule ends with the last block, not after ``slots``.
+
     >>> pfair({"a": Fraction(1, 2), "b": Fraction(1, 2)}, 4)
     ['a', 'b', 'a', 'b']
     """
     ceil = lambda x: -((-x.numerator) // x.denominator)
-    waiting: list[tuple[int, str, int]] = [(0, s, 1) for s, w in weights.items() if w > 0]
+    waiting: list[tuple[int, str, int]] = [(0, s, 1) for s, w in weights.items() if w > 0 and (blocks is None or blocks.get(s, 0) > 0)]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int, str, int]] = []
     out: list[str] = []
-    for t in range(slots):
+    while len(out) < slots if blocks is None else waiting or ready:
+        t = len(out)
         while waiting and waiting[0][0] <= t:
             _, s, i = heapq.heappop(waiting)
             w = weights[s]
@@ -78,7 +83,8 @@ def pfair(weights: dict[str, Fraction], slots: int) -> list[str]:
             continue
         _, _, _, s, i = heapq.heappop(ready)
         out.append(s)
-        heapq.heappush(waiting, (max(t + 1, int(Fraction(i) / weights[s])), s, i + 1))
+        if blocks is None or i < blocks[s]:
+            heapq.heappush(waiting, (max(t + 1, int(Fraction(i) / weights[s])), s, i + 1))
     return out
 
 
@@ -99,7 +105,9 @@ def mix(sized: DataFrame, targets: DataFrame, slots: int = SLOTS, groups: int |
 
     ``uses``: ``id, source, repeat, slot, size``, one row per use of a document; ordered by slot it is the mixture.
     ``report``: one row per source of either table: ``source, target_share, actual_share, documents, documents_used,
-    uses, repeats_used, max_repeats, size, size_used``.
+    uses, repeats_used, max_repeats, size, size_used, max_lag``. It counts what has a slot; ``max_lag`` is the furthest
+    that the source is, before or after any slot, from its part of the mixture so far (in the unit of ``size``; its part
+    as the sources that can supply share the whole).
 
     ``sized`` is the result of ``token_sizes``; ``targets`` holds ``source, target_share, max_repeats`` (names are taken
     without case and outer blanks; of two rows for a source the one with the greater share holds). Documents of unlisted
@@ -119,13 +127,13 @@ def mix(sized: DataFrame, targets: DataFrame, slots: int = SLOTS, groups: int |
     listed = grouped.where(F.col("source").isin(list(wanted)))
     sizes: dict[str, int] = {r["source"]: r["size"] for r in listed.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     weights, total = plan(sizes, wanted, slots)
-    schedule = pfair(weights, slots) if total else []
+    block = max(1, -(-total // slots))
+    quotas = {s: int(w * total) for s, w in weights.items()}
     places: dict[str, list[int]] = {s: [] for s in weights}
-    for t, s in enumerate(schedule):
+    for t, s in enumerate(pfair(weights, slots, {s: -(-q // block) for s, q in quotas.items()})):
         if s:
             places[s].append(t)
-    block = max(1, -(-total // slots))
-    quota = [(s, sizes[s], int(w * total), wanted[s][1], places[s]) for s, w in weights.items()]
+    quota = [(s, sizes[s], q, wanted[s][1], places[s]) for s, q in quotas.items()]
     # where each group begins within its source: a window over one row a group
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = listed.select("source", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
@@ -137,25 +145,34 @@ def mix(sized: DataFrame, targets: DataFrame, slots: int = SLOTS, groups: int |
         .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("cap"))))
         .withColumn("from", F.col("begin") + (F.col("repeat") - 1) * F.col("all_size"))
         .where((F.col("from") < F.col("quota")) & ((F.col("size") > 0) | (F.col("repeat") == 1)))
-        .withColumn("block", F.least(F.floor(F.col("from") / F.lit(block)).cast("int"), F.size("places") - 1))
-        .select("id", "source", "repeat", F.element_at("places", F.col("block") + 1).alias("slot"), "size")
+        .withColumn("slot", F.get("places", F.floor(F.col("from") / F.lit(block)).cast("int")))
+        .where(F.col("slot").isNotNull())
+        .select("id", "source", "repeat", "slot", "size")
     )
-    used = uses.groupBy("source").agg(F.sum("size").alias("size_used"), F.count(F.lit(1)).alias("uses"), F.sum(F.when(F.col("repeat") == 1, 1).otherwise(0)).alias("documents_used"), F.max("repeat").alias("repeats_used"))
+    aims = spark.createDataFrame([(s, share, cap, float(weights.get(s, 0))) for s, (share, cap) in wanted.items()], "aim string, target_share double, max_repeats int, weight double")
+    # the mixture in the order of its slots, one row a slot: how far each source is from its part after and before its slots
+    filled = uses.groupBy("source", "slot").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("uses"), F.sum(F.when(F.col("repeat") == 1, 1).otherwise(0)).alias("documents_used"), F.max("repeat").alias("repeats_used"))
+    so_far, own_so_far = Window.orderBy("slot"), Window.partitionBy("source").orderBy("slot")
+    lags = filled.withColumn("reached", F.sum("size").over(so_far)).withColumn("own", F.sum("size").over(own_so_far)).join(F.broadcast(aims.select(F.col("aim").alias("source"), "weight")), "source")
+    after = F.col("own") - F.col("weight") * F.col("reached")
+    lag = F.greatest(F.abs(after), F.abs(after - F.col("size") * (1 - F.col("weight"))))
+    used = lags.groupBy("source").agg(F.sum("size").alias("size_used"), F.sum("uses").alias("uses"), F.sum("documents_used").alias("documents_used"), F.max("repeats_used").alias("repeats_used"), F.max(lag).alias("lag"))
     have = grouped.groupBy("source").agg(F.sum("size").alias("size"), F.sum("n").alias("documents"))
-    aims = spark.createDataFrame([(s, share, cap) for s, (share, cap) in wanted.items()], "aim string, target_share double, max_repeats int")
-    report = have.join(aims, have["source"].eqNullSafe(aims["aim"]), "full").select(F.coalesce("source", "aim").alias("source"), "target_share", "max_repeats", "documents", "size")
+    report = have.join(aims, have["source"].eqNullSafe(aims["aim"]), "full").select(F.coalesce("source", "aim").alias("source"), "target_share", "max_repeats", "weight", "documents", "size")
     report = report.join(used.withColumnRenamed("source", "used_source"), F.col("source") == F.col("used_source"), "left")
     overall = used.agg(F.sum("size_used").alias("overall"))
+    at_end = F.abs(F.coalesce("size_used", F.lit(0)) - F.coalesce("weight", F.lit(0.0)) * F.coalesce("overall", F.lit(0)))
     report = report.crossJoin(F.broadcast(overall)).select(
         "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce(F.col("size_used") / F.col("overall"), F.lit(0.0)).alias("actual_share"),
         F.coalesce("documents", F.lit(0)).cast("long").alias("documents"), F.coalesce("documents_used", F.lit(0)).cast("long").alias("documents_used"), F.coalesce("uses", F.lit(0)).cast("long").alias("uses"),
         F.coalesce("repeats_used", F.lit(0)).cast("int").alias("repeats_used"), F.coalesce("max_repeats", F.lit(0)).cast("int").alias("max_repeats"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.coalesce("size_used", F.lit(0)).cast("long").alias("size_used"),
+        F.greatest("lag", at_end).alias("max_lag"),
     )
     return uses, report
 
 
 def shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The report of mixing ``documents`` to ``targets``. Sizes are counted once and kept in the checkpoint folder."""
+    """The report of the scheduled mixture of ``documents`` by ``targets``. Sizes are counted once and kept in the checkpoint folder."""
     from ferrywork.runtime import cut
 
     return mix(cut(token_sizes(documents, tokenizer=tokenizer)), targets)[1]

@@ -39,6 +39,50 @@ def test_mix_report(spark):
     assert p7_mix.mix(sized.limit(0), targets)[1].where("uses > 0").count() == 0
 
 
+def scheduled_mix(spark):
+    """Sized documents, one source due for less than a slot, and their targets."""
+    rng = random.Random(4)
+    sizes = [(i, "a", rng.randint(1, 9)) for i in range(2000)] + [(10_000 + i, "b", rng.randint(1, 9)) for i in range(1200)] + [(20_000 + i, "c", 3) for i in range(40)]
+    targets = [("a", 0.601, 1), ("b", 0.397, 2), ("c", 0.002, 1)]
+    return spark.createDataFrame(sizes, "id long, source string, size long"), spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+
+
+def test_report_is_of_the_scheduled_mixture(spark):
+    uses, report = p7_mix.mix(*scheduled_mix(spark), slots=200, groups=4)
+    got, mixture = {r.source: r for r in report.collect()}, sorted(uses.collect(), key=lambda r: r.slot)
+    weights, total = {"a": 0.601, "b": 0.397, "c": 0.002}, sum(r.size_used for r in got.values())
+    slots, sums, reached, furthest = {}, dict.fromkeys(weights, 0), 0, dict.fromkeys(weights, 0.0)
+    for r in mixture:
+        assert slots.setdefault(r.slot, [r.source, 0])[0] == r.source
+        slots[r.slot][1] += r.size
+    for _, (source, size) in sorted(slots.items()):
+        sums[source], reached = sums[source] + size, reached + size
+        furthest = {s: max(furthest[s], abs(sums[s] - w * reached)) for s, w in weights.items()}
+    block = -(-total // 200)
+    assert len(slots) <= 203 and max(size for _, size in slots.values()) <= block + 8
+    for s, w in weights.items():
+        assert got[s].size_used == sums[s] > 0 and abs(sums[s] - w * total) <= 9
+        assert abs(got[s].max_lag - furthest[s]) < 1e-6 and furthest[s] < block + 27
+
+
+def test_the_schedule_decides_the_report(spark, monkeypatch):
+    documents, targets = scheduled_mix(spark)
+    told = lambda: {r.source: r for r in p7_mix.mix(documents, targets, slots=200, groups=4)[1].collect()}
+    fair, pfair = told(), p7_mix.pfair
+    monkeypatch.setattr(p7_mix, "pfair", lambda *a: sorted(pfair(*a)))
+    in_turn = told()
+    assert in_turn["a"].size_used == fair["a"].size_used and in_turn["a"].max_lag > 20 * fair["a"].max_lag
+    monkeypatch.setattr(p7_mix, "pfair", lambda *a: ["" if s == "b" else s for s in pfair(*a)])
+    without = told()
+    assert without["b"].uses == without["b"].size_used == 0 and without["a"].actual_share > 0.99 and without["b"].max_lag > 1000
+
+
+def test_pfair_with_blocks():
+    w = {"a": Fraction(1, 2), "b": Fraction(999, 2000), "c": Fraction(1, 2000)}
+    got = p7_mix.pfair(w, 10, {"a": 5, "b": 5, "c": 1})
+    assert sorted(got) == ["a"] * 5 + ["b"] * 5 + ["c"] and "c" not in p7_mix.pfair(w, 10) and p7_mix.pfair(w, 10, {}) == []
+
+
 def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "hello world", " A"), (2, None, None), (3, "", "a"), (4, "word " * 20000, "a")], "doc_id long, text string, source string").selectExpr("*", "1 as size", "'x' as id")
     got = {r.id: (r.source, r.size) for r in p7_mix.token_sizes(df).collect()}
