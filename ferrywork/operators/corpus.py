@@ -395,28 +395,38 @@ def link(chunks: DataFrame) -> DataFrame:
 
 def _shorten(words: Column, most: int = schema.PARENT_TOKENS) -> Column:
     """The words without as many tens from the end as it takes to fit ``most`` tokens."""
-    n = F.size(words)
-    head = lambda k: F.array_join(F.slice(words, F.lit(1), F.greatest(n - 10 * k, F.lit(0))), " ")
-    steps = F.get(F.filter(F.sequence(F.lit(0), F.ceil(n / 10).cast("int")), lambda k: text.token_count(head(k)) <= most), F.lit(0))
-    return head(F.coalesce(steps, F.lit(0)))
+
+    def fit(ws: Column) -> Column:
+        n = F.size(ws)
+        head = lambda k: F.array_join(F.slice(ws, F.lit(1), F.greatest(n - 10 * k, F.lit(0))), " ")
+        steps = F.get(F.filter(F.sequence(F.lit(0), F.ceil(n / 10).cast("int")), lambda k: text.token_count(head(k)) <= most), F.lit(0))
+        return head(F.coalesce(steps, F.lit(0)))
+
+    return text.let(words, fit)
 
 
 def section_summary(body: Column) -> Column:
     """The first two, the middle and the last sentence (all of at most four); below 60 tokens further sentences follow in
-    order, as long as the whole stays within 800 tokens."""
-    s = text.sentences(body)
-    n = F.size(s)
-    chosen = F.when(n <= 4, s).otherwise(F.array(F.get(s, F.lit(0)), F.get(s, F.lit(1)), F.get(s, F.floor(n / 2).cast("int")), F.get(s, n - 1)))
-    zero = F.struct(F.array_join(chosen, " ").alias("t"), F.lit(False).alias("over"))
-
-    def add(a: Column, x: Column) -> Column:
-        longer = F.trim(F.concat(a["t"], F.lit(" "), x))
-        stop = a["over"] | (text.token_count(a["t"]) >= 60) | F.array_contains(chosen, x)
-        full = text.token_count(longer) > schema.PARENT_TOKENS
-        return F.when(stop, a).when(full, F.struct(a["t"].alias("t"), F.lit(True).alias("over"))).otherwise(F.struct(longer.alias("t"), F.lit(False).alias("over")))
-
-    out = F.aggregate(s, zero, add)["t"]
-    return F.when(text.token_count(out) > schema.PARENT_TOKENS, _shorten(F.split(out, r"\s+"))).otherwise(out)
+    order, as long as the whole stays within 800 tokens. The sentences and the choice are bound: the fold would work them
+    out again for each sentence."""
+
+    def choice(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n <= 4, s).otherwise(F.array(F.get(s, F.lit(0)), F.get(s, F.lit(1)), F.get(s, F.floor(n / 2).cast("int")), F.get(s, n - 1)))
+
+    def grown(s: Column, chosen: Column) -> Column:
+        zero = F.struct(F.array_join(chosen, " ").alias("t"), F.lit(False).alias("over"))
+
+        def add(a: Column, x: Column) -> Column:
+            longer = F.trim(F.concat(a["t"], F.lit(" "), x))
+            stop = a["over"] | (text.token_count(a["t"]) >= 60) | F.array_contains(chosen, x)
+            full = text.token_count(longer) > schema.PARENT_TOKENS
+            return F.when(stop, a).when(full, F.struct(a["t"].alias("t"), F.lit(True).alias("over"))).otherwise(F.struct(longer.alias("t"), F.lit(False).alias("over")))
+
+        return F.aggregate(s, zero, add)["t"]
+
+    out = text.let(text.sentences(body), lambda s: text.let(choice(s), lambda chosen: grown(s, chosen)))
+    return text.let(out, lambda t: F.when(text.token_count(t) > schema.PARENT_TOKENS, _shorten(F.split(t, r"\s+"))).otherwise(t))
 
 
 def tagged(chunks: DataFrame) -> DataFrame:

@@ -176,3 +176,9 @@ def test_sections_are_filtered_by_kind(spark):
 def test_summaries(spark):
     assert one(spark, corpus.section_summary, "A one. B two. C three. D four. E five. F six.") == "A one. B two. D four. F six. C three. E five."
     assert one(spark, corpus.section_summary, None) == "" and len(one(spark, corpus.section_summary, "word " * 2000)) // 4 <= 800
+
+
+def test_a_summary_splits_its_text_once(spark):
+    df = spark.createDataFrame([("A one. B two. " * 300,)], "t string").select(corpus.section_summary(F.col("t")).alias("s"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("(?<=[.!?])") == 1
+    assert len(df.first().s) >= 20
