@@ -22,3 +22,7 @@ def asked(spark, tables):
 
 def test_hybrid_hits_asks_all_questions(spark, tables):
     assert {r.qid for r in QUERIES["hybrid_hits"](spark, tables).select("qid").collect()} == asked(spark, tables)
+
+
+def test_mock_results_asks_all_questions(spark, tables):
+    assert {r.qid for r in QUERIES["mock_results"](spark, tables).select("qid").collect()} == asked(spark, tables)
