@@ -26,3 +26,7 @@ def test_hybrid_hits_asks_all_questions(spark, tables):
 
 def test_mock_results_asks_all_questions(spark, tables):
     assert {r.qid for r in QUERIES["mock_results"](spark, tables).select("qid").collect()} == asked(spark, tables)
+
+
+def test_retrieval_recall_asks_all_questions(spark, tables):
+    assert QUERIES["retrieval_recall"](spark, tables).first().n_queries == len(asked(spark, tables))
