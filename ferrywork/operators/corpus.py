@@ -24,9 +24,11 @@ def pack(items: Column, most: int, overlap: int) -> Column:
     """
     size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + text.token_count(x))
     empty = F.array().cast("array<string>")
-    zero = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("open"))
+    zero = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("open"), F.lit(0).alias("n"))
 
     def carry(xs: Column) -> Column:
+        if overlap < 1:  # no sentence has fewer than one token
+            return empty
         zero = F.struct(empty.alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("full"))
         back = F.aggregate(
             F.reverse(xs),
@@ -38,13 +40,14 @@ def pack(items: Column, most: int, overlap: int) -> Column:
         return back["kept"]
 
     def step(a: Column, x: Column) -> Column:
-        over = (F.size(a["open"]) > 0) & (size(a["open"]) + text.token_count(x) > most)
-        kept = carry(a["open"])
-        kept = F.when(size(kept) + text.token_count(x) > most, empty).otherwise(kept)
-        return F.when(over, F.struct(F.array_append(a["done"], a["open"]).alias("done"), F.array_append(kept, x).alias("open"))).otherwise(F.struct(a["done"].alias("done"), F.array_append(a["open"], x).alias("open")))
+        mine = text.token_count(x)
+        over = (F.size(a["open"]) > 0) & (a["n"] + mine > most)
+        fits = lambda kept: F.when(size(kept) + mine > most, empty).otherwise(kept)
+        closed = lambda kept: F.struct(F.array_append(a["done"], a["open"]).alias("done"), F.array_append(kept, x).alias("open"), (size(kept) + mine).alias("n"))
+        after = text.let(text.let(carry(a["open"]), fits), closed)
+        return F.when(over, after).otherwise(F.struct(a["done"].alias("done"), F.array_append(a["open"], x).alias("open"), (a["n"] + mine).alias("n")))
 
-    out = F.aggregate(items, zero, step)
-    return F.when(F.size(out["open"]) > 0, F.array_append(out["done"], out["open"])).otherwise(out["done"])
+    return text.let(F.aggregate(items, zero, step), lambda out: F.when(F.size(out["open"]) > 0, F.array_append(out["done"], out["open"])).otherwise(out["done"]))
 
 
 def split_overlong(items: Column, most: int) -> Column:
@@ -308,22 +311,23 @@ def _by_section(parents: Column, children: Column) -> Column:
     one of its own text, which later children may share. A fold over the few packs of one section.
     """
     longest = F.array_max(F.transform(children, lambda t, i: F.struct(text.token_count(t).alias("n"), (-i).alias("i"), t.alias("t"))))["t"]
-    kept = _long_enough(parents)
-    kept = F.when((F.size(kept) == 0) & (F.size(children) > 0), F.array(F.struct(F.lit(0).alias("idx"), longest.alias("text")))).otherwise(kept)
+    kept = text.let(_long_enough(parents), lambda k: F.when((F.size(k) == 0) & (F.size(children) > 0), F.array(F.struct(F.lit(0).alias("idx"), longest.alias("text")))).otherwise(k))
     known = F.transform(kept, lambda p: F.struct(p["idx"].cast("int").alias("idx"), p["text"].alias("text"), text.sentences(p["text"]).alias("s")))
     zero = F.struct(known.alias("parents"), F.array().cast("array<struct<idx:int,text:string,parent:int>>").alias("children"))
 
     def step(a: Column, c: Column) -> Column:
-        mine = text.sentences(c["text"])
-        best = F.array_max(F.transform(a["parents"], lambda p, i: F.struct(F.size(F.array_intersect(mine, p["s"])).alias("n"), (-i).alias("i"), p["idx"].alias("idx"))))
-        own = F.coalesce(F.array_max(F.transform(a["parents"], lambda p: p["idx"])), F.lit(-1)) + 1
-        shared = F.coalesce(best["n"], F.lit(0)) > 0
-        child = lambda idx: F.array_append(a["children"], F.struct(c["idx"].alias("idx"), c["text"].alias("text"), idx.alias("parent")))
-        grown = F.array_append(a["parents"], F.struct(own.alias("idx"), c["text"].alias("text"), mine.alias("s")))
-        return F.when(shared, F.struct(a["parents"].alias("parents"), child(best["idx"]).alias("children"))).otherwise(F.struct(grown.alias("parents"), child(own).alias("children")))
+        def placed(mine: Column) -> Column:
+            best = F.array_max(F.transform(a["parents"], lambda p, i: F.struct(F.size(F.array_intersect(mine, p["s"])).alias("n"), (-i).alias("i"), p["idx"].alias("idx"))))
+            own = F.coalesce(F.array_max(F.transform(a["parents"], lambda p: p["idx"])), F.lit(-1)) + 1
+            child = lambda idx: F.array_append(a["children"], F.struct(c["idx"].alias("idx"), c["text"].alias("text"), idx.alias("parent")))
+            alone = lambda o: F.struct(F.array_append(a["parents"], F.struct(o.alias("idx"), c["text"].alias("text"), mine.alias("s"))).alias("parents"), child(o).alias("children"))
+            shared = lambda b: F.coalesce(b["n"], F.lit(0)) > 0
+            return text.let(best, lambda b: F.when(shared(b), F.struct(a["parents"].alias("parents"), child(b["idx"]).alias("children"))).otherwise(text.let(own, alone)))
+
+        return text.let(text.sentences(c["text"]), placed)
 
     done = F.aggregate(_long_enough(children), zero, step)
-    return F.concat(F.transform(done["parents"], lambda p: _piece("parent", p["idx"], p["text"])), F.transform(done["children"], lambda c: _piece("child", c["idx"], c["text"], c["parent"])))
+    return text.let(done, lambda d: F.concat(F.transform(d["parents"], lambda p: _piece("parent", p["idx"], p["text"])), F.transform(d["children"], lambda c: _piece("child", c["idx"], c["text"], c["parent"]))))
 
 
 def chunks_of_sections(sections_df: DataFrame, strategy: Column | None = None) -> DataFrame:
@@ -334,17 +338,19 @@ def chunks_of_sections(sections_df: DataFrame, strategy: Column | None = None) -
     400 tokens and makes no parents. Chunks below 30 tokens are left out. All work stays within the row of a section.
     """
     kind = strategy if strategy is not None else F.lit("section_aware")
-    sent = text.sentences(F.col("text"))
     none = F.lit(None).cast(CHUNKS)
 
     def paragraph(p: Column) -> Column:
-        inner = text.sentences(p)
-        parents, children = _packed(inner, schema.PARENT_TOKENS, schema.PARENT_OVERLAP), _packed(inner, schema.CHILD_TOKENS, schema.CHILD_OVERLAP)
-        return F.concat(F.transform(_long_enough(parents), lambda x: _piece("parent", x["idx"], x["text"])), F.transform(_long_enough(children), lambda x: _piece("child", x["idx"], x["text"])))
+        def both(inner: Column) -> Column:
+            parents, children = _packed(inner, schema.PARENT_TOKENS, schema.PARENT_OVERLAP), _packed(inner, schema.CHILD_TOKENS, schema.CHILD_OVERLAP)
+            return F.concat(F.transform(_long_enough(parents), lambda x: _piece("parent", x["idx"], x["text"])), F.transform(_long_enough(children), lambda x: _piece("child", x["idx"], x["text"])))
+
+        return text.let(text.sentences(p), both)
 
     paragraphs = F.filter(F.transform(F.split(blank(F.col("text")), r"\n\s*\n"), strip), lambda p: text.token_count(p) >= schema.MIN_TOKENS)
     lines = F.transform(pack(text.lines_of(F.col("text")), schema.LEXICON_TOKENS, 0), lambda p: F.array_join(p, "\n"))
-    rows = sections_df.withColumn("_kind", kind).withColumn("_parents", _packed(sent, schema.PARENT_TOKENS, schema.PARENT_OVERLAP)).withColumn("_children", _packed(sent, schema.CHILD_TOKENS, schema.CHILD_OVERLAP))
+    rows = sections_df.withColumn("_kind", kind).withColumn("_sent", text.sentences(F.col("text")))
+    rows = rows.withColumns({"_parents": _packed(F.col("_sent"), schema.PARENT_TOKENS, schema.PARENT_OVERLAP), "_children": _packed(F.col("_sent"), schema.CHILD_TOKENS, schema.CHILD_OVERLAP)})
     rows = rows.withColumn(
         "_chunks",
         F.coalesce(
@@ -353,7 +359,8 @@ def chunks_of_sections(sections_df: DataFrame, strategy: Column | None = None) -
             _by_section(F.col("_parents"), F.col("_children")),
         ),
     )
-    out = rows.select("doc_id", "section_id", F.posexplode("_chunks").alias("seq", "c")).select("doc_id", "section_id", "seq", "c.level", "c.idx", "c.text", "c.parent")
+    # the outer form: filters that Catalyst infers for the other one would work out all chunks again
+    out = rows.select("doc_id", "section_id", F.posexplode_outer("_chunks").alias("seq", "c")).where("seq is not null").select("doc_id", "section_id", "seq", "c.level", "c.idx", "c.text", "c.parent")
     return out.withColumn("token_count", text.token_count(F.col("text")))
 
 

@@ -182,3 +182,9 @@ def test_a_summary_splits_its_text_once(spark):
     df = spark.createDataFrame([("A one. B two. " * 300,)], "t string").select(corpus.section_summary(F.col("t")).alias("s"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("(?<=[.!?])") == 1
     assert len(df.first().s) >= 20
+
+
+def test_packing_repeats_no_step(spark):
+    df = corpus.chunks_of_sections(spark.createDataFrame([("d", "s", "One sentence of some words. " * 30)], "doc_id string, section_id string, text string"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("(?<=[.!?])") <= 8
+    assert {r.level for r in df.collect()} == {"parent", "child"}
