@@ -166,3 +166,11 @@ def test_hashed_encoder_is_deterministic_and_near_for_like_texts():
 
     a, b, c, d = HashedEncoder().encode(["the cystic duct", "cystic ducts", "trocar placement", ""])
     assert a @ b > a @ c and not d.any() and np.allclose(a, HashedEncoder().encode(["the cystic duct"])[0]) and abs(np.linalg.norm(a) - 1) < 1e-4
+
+
+def test_a_search_of_many_queries_is_one_pass(spark):
+    docs = spark.createDataFrame([("a", "duct"), ("b", "duct artery"), ("c", "liver")], "chunk_id string, text string")
+    q = spark.range(2500).selectExpr("id as qid", "if(id % 2 = 0, 'duct', 'artery') as sparse_query")
+    found = lexical.search(docs, q, 1, {"text": 1.0})
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert {(r.qid % 2, r.id): r.n for r in found.selectExpr("qid", "id").groupBy("qid", "id").count().selectExpr("qid % 2 as qid", "id").groupBy("qid", "id").count().selectExpr("qid", "id", "count as n").collect()} == {(0, "a"): 1250, (1, "b"): 1250}
