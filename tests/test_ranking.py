@@ -174,3 +174,10 @@ def test_a_search_of_many_queries_is_one_pass(spark):
     found = lexical.search(docs, q, 1, {"text": 1.0})
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
     assert {(r.qid % 2, r.id): r.n for r in found.selectExpr("qid", "id").groupBy("qid", "id").count().selectExpr("qid % 2 as qid", "id").groupBy("qid", "id").count().selectExpr("qid", "id", "count as n").collect()} == {(0, "a"): 1250, (1, "b"): 1250}
+
+
+def test_a_dense_search_of_many_queries_is_one_pass(spark):
+    e = spark.range(2500).selectExpr("id as vec_id", "if(id % 2 = 0, array(1.0f, 0.0f), array(0.0f, 1.0f)) as embedding")
+    found = ranking.dense_topk(e.where("vec_id < 4"), e, 1)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert {tuple(r) for r in found.selectExpr("qid % 2", "id").distinct().collect()} == {(0, 0), (1, 1)} and found.count() == 2500
